@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from honeyframe.llm import dac, decontaminate, packing, quality, simhash, token_counts
+from honeyframe.llm import dac, decontaminate, hpylm, packing, quality, simhash, token_counts
 from honeyframe.llm.common import scratch, table
 
 
@@ -33,6 +33,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hpylm.score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_token_ids": op3_token_ids,
     "op5_simhash": op5_simhash,
+    "op6_lm_scores": op6_lm_scores,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
