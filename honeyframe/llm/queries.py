@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from honeyframe.llm import dac, decontaminate, hpylm, packing, quality, simhash, token_counts
+from honeyframe.llm import dac, decontaminate, hpylm, packing, quality, simhash, token_counts, url_filter
 from honeyframe.llm.common import scratch, table
 
 
@@ -38,6 +38,10 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_ids": op3_token_ids,
     "op5_simhash": op5_simhash,
     "op6_lm_scores": op6_lm_scores,
+    "op7_url_filter": op7_url_filter,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
@@ -84,4 +89,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 #: Where DuckDB can express an operator.
-ORACLE_SQL: dict[str, str] = {"op10_decontamination": _OP10}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.oracle_sql(), "op10_decontamination": _OP10}

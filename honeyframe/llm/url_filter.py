@@ -135,3 +135,57 @@ def _sql_rules() -> tuple[str, str]:
         fits = f"WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{slash}{rest}')"
         rule, says = f"{rule} {fits} THEN '{text}'", f"{says} {fits} THEN '{verdict}'"
     return f"CASE{rule} END", f"CASE{says} END"
+
+
+def _sql_chain(of: str) -> str:
+    p = "CAST(1 AS DOUBLE) / 256"
+    for k in range(1, ORDER + 2):
+        p = f"(({of}{k} + {TRUST} * ({p})) / (c{of}{k} + {TRUST}))"
+    return p
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB's SQL, over the table pages."""
+    rule, says = _sql_rules()
+    columns = ", ".join(f"coalesce(max(CASE WHEN k = {k} THEN {x} END), 0)::DOUBLE AS {x}{k}" for k in range(1, ORDER + 2) for x in ("a", "b", "ca", "cb"))
+    grams = f"unnest([substring(repeat(chr(2), {ORDER}) || s || chr(3), i, {ORDER + 1}) FOR i IN generate_series(1, length(s) + 1)]) AS gram"
+    tails = f"unnest([substring(gram, {ORDER + 2} - k, k) FOR k IN generate_series(1, {ORDER + 1})]) AS tail"
+    crc = _sql_crc32("s")
+    return f"""
+WITH rows AS (SELECT page_id, {_P} AS host, {_T} AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)
+), ruled AS (SELECT *, {rule} AS rule, {says} AS says FROM rows
+), urls AS (SELECT DISTINCT host, path, says, host || path AS s FROM ruled
+), hashed AS (SELECT *, {crc} % 5 = 0 AS unseen FROM urls
+), wanted AS (
+  SELECT host, path, s, CAST(NULL AS INT) AS good FROM hashed WHERE says IS NULL UNION ALL SELECT host, path, s, CAST(says = 'allow' AS INT) FROM hashed WHERE says IS NOT NULL AND unseen
+), counts AS (SELECT gram, sum(good) AS a, sum(1 - good) AS b FROM (SELECT CAST(says = 'allow' AS INT) AS good, {grams} FROM hashed WHERE says IS NOT NULL AND NOT unseen) GROUP BY gram
+), tails AS (SELECT tail, sum(a) AS a, sum(b) AS b FROM (SELECT a, b, {tails} FROM counts) GROUP BY tail
+), contexts AS (SELECT substring(tail, 1, length(tail) - 1) AS context, sum(a) AS ca, sum(b) AS cb FROM tails GROUP BY 1
+), asked AS (SELECT host, path, {grams} FROM wanted
+), chains AS (
+  SELECT gram, {columns} FROM (
+    SELECT gram, length(tail) AS k, a, b, ca, cb FROM (SELECT gram, {tails} FROM (SELECT DISTINCT gram FROM asked)) q
+    LEFT JOIN tails USING (tail) LEFT JOIN contexts ON context = substring(q.tail, 1, length(q.tail) - 1)
+  ) GROUP BY gram
+), ratios AS (SELECT gram, CAST(round(ln({_sql_chain('a')} / {_sql_chain('b')}) * 1e6) AS BIGINT) AS ratio FROM chains
+), scored AS (
+  SELECT host, path, CAST(floor(sum(ratio)::DOUBLE / (1000.0::DOUBLE * count(*))) AS BIGINT) AS score FROM asked JOIN ratios USING (gram) GROUP BY host, path
+), held AS (SELECT score, good FROM scored JOIN wanted USING (host, path) WHERE good IS NOT NULL
+), by_score AS (SELECT score, sum(good) AS a, sum(1 - good) AS b FROM held GROUP BY score
+), gains AS (
+  SELECT score, (sum(a) OVER () - coalesce(sum(a) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(b) OVER ()
+    - (sum(b) OVER () - coalesce(sum(b) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(a) OVER () AS gain, sum(a) OVER () > 0 AND sum(b) OVER () > 0 AS both_kinds FROM by_score
+), cut AS (SELECT coalesce((SELECT score FROM gains WHERE both_kinds ORDER BY gain DESC, score LIMIT 1), 0) AS cut)
+SELECT page_id, r.host, r.path, r.rule, coalesce(r.says, CASE WHEN s.score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled r LEFT JOIN scored s ON r.host = s.host AND r.path = s.path CROSS JOIN cut
+"""
+
+
+def _sql_crc32(column: str) -> str:
+    """CRC-32 bit by bit, since the engine has no function for it."""
+    bit = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = "xor(c, b)"
+    for _ in range(8):
+        byte = f"(list_transform([{byte}], lambda c: {bit}))[1]"
+    octets = f"list_transform(range(0, octet_length(encode({column}))), lambda j: CAST('0x' || substring(hex(encode({column})), CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: {byte}), 4294967295)"
