@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from honeyframe.llm import dac, decontaminate, hpylm, packing, quality, simhash, token_counts, url_filter
+from honeyframe.llm import chat_format, dac, decontaminate, html_text, hpylm, packing, quality, simhash, token_counts, url_filter
 from honeyframe.llm.common import scratch, table
 
 
@@ -28,6 +28,10 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_directory(spark, path)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), tau=3, shingle_words=3)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -42,6 +46,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -56,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_token_ids": op3_token_ids,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_simhash": op5_simhash,
     "op6_lm_scores": op6_lm_scores,
     "op7_url_filter": op7_url_filter,
+    "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
@@ -89,4 +99,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 #: Where DuckDB can express an operator.
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.oracle_sql(), "op10_decontamination": _OP10}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat_format.ORACLE, "op7_url_filter": url_filter.oracle_sql(), "op10_decontamination": _OP10}
