@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,6 @@ MAX_RADIUS = 128
 MAX_SEAM_RADIUS = 64
 #: The six steps to a neighbour, in order.
 NEIGHBORS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
-#: The child of a super-hexagon that has residue (3q + r) mod 7, as an offset from its center.
-CHILD_OFFSETS = ((0, 0), (0, 1), (1, -1), (1, 0), (-1, 0), (-1, 1), (0, -1))
-#: Shifts and masks that spread 21 bits three apart.
-SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 Coord = tuple[int, int]
 
 
@@ -49,11 +46,12 @@ def near(q, r, center: Coord, radius: int) -> Column:
 
 def _zigzag(x: Column) -> Column:
     x = x.cast("long")
-    return F.when(x >= 0, 2 * x).otherwise(-2 * x - 1)
+    return F.shiftleft(x, 1).bitwiseXOR(F.shiftright(x, 63))
 
 
 def _spread(x: Column) -> Column:
-    return reduce(lambda v, step: v.bitwiseOR(F.shiftleft(v, step[0])).bitwiseAND(F.lit(step[1])), SPREAD, x)
+    """Bits three apart: binary digits read as octal ones, which names ``x`` only once however far they go."""
+    return F.conv(F.bin(x), 8, 10).cast("long")
 
 
 def morton(q, r) -> Column:
@@ -152,15 +150,11 @@ def refine(df: DataFrame, factor: int, q: str = "q", r: str = "r") -> DataFrame:
 
 def superhex_parent(q, r, levels: int = 1) -> tuple[Column, Column]:
     """The super-hexagon of seven that holds (q, r), so many levels up; none for levels <= 0."""
-    q, r = _c(q), _c(r)
+    q, r = _c(q).cast("long"), _c(r).cast("long")
     for _ in range(max(levels, 0)):
-        residue = F.pmod(3 * q + r, F.lit(7))
-        oq, orr = F.lit(0), F.lit(0)
-        for k, (a, b) in enumerate(CHILD_OFFSETS):
-            oq, orr = F.when(residue == k, a).otherwise(oq), F.when(residue == k, b).otherwise(orr)
-        cq, cr = q - oq, r - orr
-        q, r = F.call_function("div", 3 * cq + cr, F.lit(7)).cast("int"), F.call_function("div", 2 * cr - cq, F.lit(7)).cast("int")
-    return q, r
+        # A child differs from its center by less than half a parent either way, so rounding finds the parent.
+        q, r = F.floor((3 * q + r + 3) / 7), F.floor((2 * r - q + 3) / 7)
+    return q.cast("int"), r.cast("int")
 
 
 def superhex_center(q, r, levels: int = 1) -> tuple[Column, Column]:
@@ -201,13 +195,25 @@ def disk_size(radius: int) -> int:
 
 
 def annulus(spark: SparkSession, center: Coord, low: int, high: int) -> DataFrame:
-    """Coordinates at distance low..high of a center: spiral (order), ring, q, r and key; those that have no key are left out."""
+    """Coordinates at distance low..high of a center: spiral (order), ring, q, r and key; those that have no key are left out.
+
+    They are made on the driver: a radius bounds their number, to 197,377 for the widest operator.
+    """
+    import pandas as pd
+
     low = max(low, 0)
     first, end = (0 if low == 0 else disk_size(low - 1)), disk_size(high) if high >= low else 0
-    dq, dr = spiral_inverse("spiral")
-    rows = spark.range(first, max(first, end), 1, 1).select(F.col("id").alias("spiral")).select("spiral", (dq + center[0]).alias("q"), (dr + center[1]).alias("r"))
-    rows = rows.select("spiral", distance("q", "r", *center).alias("ring"), "q", "r", morton("q", "r").alias("key"))
-    return rows.filter("key is not null")
+    n = np.arange(first, max(first, end), dtype=np.int64)
+    k = np.where(n == 0, 0, np.floor((np.sqrt(12.0 * n - 3 + 4 * (n == 0)) + 3) / 6).astype(np.int64))
+    side, j = np.divmod(np.where(k == 0, 0, n - 1 - 3 * k * (k - 1)), np.maximum(k, 1))
+    dq = np.select([k == 0, side == 0, side == 1, side == 2, side == 3, side == 4], [0, k, k - j, -j, -k, j - k], j)
+    dr = np.select([k == 0, side == 0, side == 1, side == 2, side == 3, side == 4], [0, -j, -k, j - k, j, k], k - j)
+    q, r = dq + center[0], dr + center[1]
+    code = [np.where(x >= 0, 2 * x, -2 * x - 1) for x in (q, r, -q - r)]
+    key = sum((c >> i & 1) << 3 * i + at for at, c in enumerate(code) for i in range(20))
+    good = np.max(np.abs([q, r, q + r]), axis=0) <= MAX_COORD if len(n) else np.zeros(0, bool)
+    rows = pd.DataFrame({"spiral": n, "ring": k.astype(np.int32), "q": q.astype(np.int32), "r": r.astype(np.int32), "key": np.asarray(key, np.int64) if len(n) else n})[good]
+    return spark.createDataFrame(rows, "spiral long, ring int, q int, r int, key long")
 
 
 def disk(spark: SparkSession, center: Coord, radius: int) -> DataFrame:

@@ -45,6 +45,10 @@ def matches(query: str, tags="tags", content="raw_content", source="source_id")
     return F.coalesce(out, F.lit(False))
 
 
+def _tag_hit(token: str):
+    return lambda t: F.when(t == token, f" [tag:exact:{token}]").when(t.startswith(token), f" [tag:prefix:{token}]").otherwise("")
+
+
 def explanation(query: str, score_col: str = "score", embedding_col: str | None = None) -> Column:
     """One line that says where a cell is, what it scored and which tokens matched where."""
     parts = [F.format_string("coord=(%d,%d) score=%.2f conf=%.2f", "q", "r", F.col(score_col), F.col("confidence"))]
@@ -54,7 +58,7 @@ def explanation(query: str, score_col: str = "score", embedding_col: str | None
         parts.append(F.lit(f' query="{query.strip().lower()}"'))
     for token in tokens(query):
         _, _, verbatim, folded, same = _parts(token, "tags", "raw_content", "source_id")
-        hit = F.transform(folded_tags("tags"), lambda t, token=token: F.when(t == token, f" [tag:exact:{token}]").when(t.startswith(token), f" [tag:prefix:{token}]").otherwise(""))
+        hit = F.transform(folded_tags("tags"), _tag_hit(token))
         parts += [F.array_join(hit, ""), F.when(verbatim, f" [content:verbatim:{token}]").when(folded, f" [content:icase:{token}]").otherwise(""), F.when(same, f" [source:exact:{token}]").otherwise("")]
     parts.append(F.when(F.size("tags") > 0, F.concat(F.lit(" tags=["), F.array_join("tags", " "), F.lit("]"))).otherwise(""))
     stamp = F.date_format(F.timestamp_micros(F.call_function("div", F.col("valid_from"), F.lit(1000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; the folder is the session's, and set here only where it is unset."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, which driver and executors share; one is set here only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "honeyframe")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()

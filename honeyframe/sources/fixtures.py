@@ -6,10 +6,13 @@ share; nothing here is needed to use the operators on tables of your own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from honeyframe.functions.geometry import morton, spiral_inverse
+from honeyframe.plans.lineage import checkpoint_dir
 
 BASE_NS = 1_700_000_000_000_000_000
 HOUR_NS = 3600 * 1_000_000_000
@@ -17,6 +20,27 @@ HOUR_NS = 3600 * 1_000_000_000
 BLOCKERS = (73856093, 19349663, 17)
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build):
+    """A relation written once per session and folder of tables, as a store would hold it: with its coordinates as columns, so that filters on them reach the scan."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if at not in _stored:
+            path = f"{checkpoint_dir(spark)}/honeyframe-{build.__name__}-{uuid.uuid4().hex}"
+            rows = build(spark, sf_dir)
+            if "key" in rows.columns:
+                rows = rows.sortWithinPartitions("key")
+            rows.write.parquet(path)
+            _stored[at] = path
+        return spark.read.parquet(_stored[at])
+
+    get.__name__, get.__doc__ = build.__name__, build.__doc__
+    return get
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +51,7 @@ def at_spiral(df: DataFrame, n: Column) -> DataFrame:
     return df.withColumn("q", q).withColumn("r", r).withColumn("key", morton("q", "r"))
 
 
+@stored
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     docs = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
@@ -42,6 +67,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def cell_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event is a commit of its user's cell; an error deletes it."""
     events = at_spiral(read(spark, sf_dir, "events"), F.col("user_id"))
@@ -53,14 +79,13 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_versions(spark, sf_dir).select("commit_seq", "wall_ns")
 
 
+@stored
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """i to i + 1 (weight 1) and to i + 8 (weight 3), and to the next document of the same source."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     step = F.explode(F.array(F.struct(F.lit(1).alias("by"), F.lit(1.0).alias("weight")), F.struct(F.lit(8).alias("by"), F.lit(3.0).alias("weight"))))
     ahead = docs.select(F.col("doc_id").alias("a"), step.alias("s")).select("a", (F.col("a") + F.col("s.by")).alias("b"), F.lit("evidence-route").alias("relation"), "s.weight")
     ahead = ahead.join(docs.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b", "relation", "weight")
-    from pyspark.sql import Window
-
     following = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
     same = docs.select(F.col("doc_id").alias("a"), following.alias("b"), F.lit("same-source").alias("relation"), (1 + F.col("doc_id") % 4 / 4.0).alias("weight")).filter("b is not null")
     both = ahead.unionByName(same)
@@ -68,10 +93,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at_spiral(both, F.col("b")).select("from_q", "from_r", "from_key", F.col("q").alias("to_q"), F.col("r").alias("to_r"), F.col("key").alias("to_key"), "relation", "weight")
 
 
+@stored
 def seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each copy of a text supersedes the copy before it; every second seam is resolved."""
-    from pyspark.sql import Window
-
     docs = read(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     before = F.lag("doc_id").over(Window.partitionBy("digest").orderBy("doc_id"))
     pairs = docs.select("doc_id", before.alias("older")).filter("older is not null")
@@ -85,6 +109,7 @@ def seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = at_spiral(read(spark, sf_dir, "documents"), F.col("doc_id"))
     ids = F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1), F.lit(4))).otherwise(F.array(F.lit(1))))
@@ -92,6 +117,7 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("facet_id", ids).select("q", "r", "key", "facet_id", (F.col("doc_id") + 1).alias("commit_seq"), F.lit(False).alias("deleted"), derived.alias("derived_content"), F.lit(BASE_NS).alias("last_rotated"), F.sha2(F.col("text").cast("binary"), 256).alias("derivation_hash"))
 
 
+@stored
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at_spiral(read(spark, sf_dir, "embeddings"), F.col("vec_id")).select("q", "r", "key", "embedding", "vec_id", "label")
 
@@ -105,6 +131,7 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations")
 
 
+@stored
 def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changefeed of cell_versions: op 1 puts a cell, op 6 deletes it; a deletion carries no payload."""
     v = cell_versions(spark, sf_dir)
