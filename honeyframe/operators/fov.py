@@ -34,8 +34,8 @@ def visible(coords: DataFrame, blockers: DataFrame, center: Coord, radius: int)
     own = blockers.filter(near("q", "r", center, radius)).select(bq.cast("long").alias("bq"), br.cast("long").alias("br")).distinct().filter("bq <> 0 or br <> 0")
     corners = F.array(*[F.struct((3 * F.col("bq") + a).alias("x"), (3 * F.col("br") + b).alias("y")) for a, b in CORNERS])
     own = own.withColumn("c", corners)
-    left = F.filter("c", lambda v: F.forall("c", lambda o: _cross(v["x"], v["y"], o["x"], o["y"]) >= 0))[0]
-    right = F.filter("c", lambda v: F.forall("c", lambda o: _cross(o["x"], o["y"], v["x"], v["y"]) >= 0))[0]
+    left = F.get(F.filter("c", lambda v: F.forall("c", lambda o: _cross(v["x"], v["y"], o["x"], o["y"]) >= 0)), F.lit(0))
+    right = F.get(F.filter("c", lambda v: F.forall("c", lambda o: _cross(o["x"], o["y"], v["x"], v["y"]) >= 0)), F.lit(0))
     own = own.select("bq", "br", (F.col("bq") * F.col("bq") + F.col("bq") * F.col("br") + F.col("br") * F.col("br")).alias("bd"), left["x"].alias("lx"), left["y"].alias("ly"), right["x"].alias("rx"), right["y"].alias("ry"))
     rows = coords.filter(near("q", "r", center, radius)).withColumn("_q", (F.col("q") - center[0]).cast("long")).withColumn("_r", (F.col("r") - center[1]).cast("long"))
     q, r = F.col("_q"), F.col("_r")
