@@ -233,23 +233,28 @@ def _open(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over all buckets of a task."""
+    total = np.zeros(2 * CLASSES + 1, np.int64)
     for batch in batches:
         for i in range(batch.num_rows):
             hashes, pairs, counts = _open(batch, i)
             context, at = pairs & CLASSES - 1, counts > 0
             vocabulary = int((np.bincount(pairs >> CLASS_BITS, counts, len(hashes)) > 0).sum())
-            yield _numbers(np.concatenate([np.bincount(context[at], counts[at], CLASSES), np.bincount(context[at], minlength=CLASSES), [vocabulary]]))
+            total += np.concatenate([np.bincount(context[at], counts[at], CLASSES), np.bincount(context[at], minlength=CLASSES), [vocabulary]]).astype(np.int64)
+    yield _numbers(total)
 
 
 def _seated(totals: dict[str, np.ndarray], burn_in: int, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(samples * (CLASSES + 1), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes, pairs, counts = _open(batch, i)
                 out = []
                 for tables, parent in sample_tables(batch.column("bucket")[i].as_py(), pairs, counts, len(hashes), totals, burn_in, samples):
                     out += [np.bincount(pairs & CLASSES - 1, tables, CLASSES), [parent.sum()]]
-                yield _numbers(np.concatenate(out))
+                total += np.concatenate(out).astype(np.int64)
+        yield _numbers(total)
 
     return run
 
