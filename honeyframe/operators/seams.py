@@ -77,13 +77,14 @@ def resolve_supersession(snap: DataFrame, seams: DataFrame, most_hops: int = MAX
     going = step.select("key", F.col("a_q").alias("q"), F.col("a_r").alias("r"), F.col("next_key").alias("at"), F.col("next_q").alias("at_q"), F.col("next_r").alias("at_r"), F.array("key").alias("seen"))
     done = []
     links = step.select(F.col("key").alias("at"), "next_key", "next_q", "next_r")
-    for hop in range(most_hops + 1):
+    for hop in range(most_hops):
+        last = hop + 1 == most_hops
         cycle = F.array_contains("seen", F.col("at"))
         moved = going.withColumn("cycle", cycle).join(links, "at", "left")
-        ended = moved.filter("cycle or next_key is null" if hop < most_hops else "true")
+        ended = moved if last else moved.filter("cycle or next_key is null")
         target = (~F.col("cycle")) & F.col("next_key").isNull()
         done.append(ended.select("key", "q", "r", *[F.when(target, F.col(c)).alias(f"target{c[2:] or '_key'}") for c in ("at", "at_q", "at_r")]))
-        if hop == most_hops:
+        if last:
             break
         going = cut(moved.filter("not cycle and next_key is not null").select("key", "q", "r", F.col("next_key").alias("at"), F.col("next_q").alias("at_q"), F.col("next_r").alias("at_r"), F.concat("seen", F.array("at")).alias("seen")))
         if going.isEmpty():
