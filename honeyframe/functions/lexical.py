@@ -51,9 +51,9 @@ def _tag_hit(token: str):
 
 def explanation(query: str, score_col: str = "score", embedding_col: str | None = None) -> Column:
     """One line that says where a cell is, what it scored and which tokens matched where."""
-    parts = [F.format_string("coord=(%d,%d) score=%.2f conf=%.2f", "q", "r", F.col(score_col), F.col("confidence"))]
+    parts = [F.format_string("coord=(%d,%d) score=%.2f conf=%.2f", "q", "r", F.bround(score_col, 2), F.bround("confidence", 2))]
     if embedding_col:
-        parts.append(F.format_string(" embedding=%.2f", F.col(embedding_col)))
+        parts.append(F.format_string(" embedding=%.2f", F.bround(embedding_col, 2)))
     if query.strip():
         parts.append(F.lit(f' query="{query.strip().lower()}"'))
     for token in tokens(query):
