@@ -2,9 +2,10 @@
 
 Two fingerprints of 64 bits that differ in at most tau of them differ, for any thresholds T_1..T_m of their m parts with
 sum(T) = tau - m + 1, in at most T_i bits of some part i. Correlated bits are put into the same part (so that a skewed
-bit spoils one part only); each fingerprint's thresholds, -1 for a part that need not be probed, are chosen by dynamic
-programming on the number of candidates that the counts of its parts' values lead to expect; it then probes every value
-within T_i of its own, and what it meets is verified on all bits.
+bit spoils one part only); the thresholds, -1 for a part that need not be probed, are chosen by dynamic programming on the
+number of candidates that the counts of the parts' values lead to expect. A fingerprint stands under its own value of each
+part that is used and probes every value within T_i of it; what it meets is verified on all bits, each pair only in the
+first part that brings it together.
 
 Only distinct fingerprints are compared, so copies cost nothing. A value that many share is split into blocks, and each
 pair of blocks is a bucket of its own, so that buckets stay bounded; within a bucket a breadth-first search compares a
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,7 @@ class Plan:
     parts: list[list[int]]  # the bits of each part
     blocks: list[list[tuple[list[int], np.ndarray]]]  # of each part: up to 16 of its bits, and for each distance how many fingerprints have a value at it
     n: int
+    thresholds: list[int] = field(default_factory=list)
 
     def value(self, fp: np.ndarray, bits: list[int]) -> np.ndarray:
         out = np.zeros(len(fp), U)
@@ -112,27 +114,27 @@ class Plan:
                 total = np.array([sum(total[j] * own[d - j] for j in range(d + 1)) / max(self.n, 1) for d in range(len(own))])
         return total
 
-    def thresholds(self, fp: np.ndarray) -> np.ndarray:
-        """The cheapest thresholds of each fingerprint, whose sum is tau - m + 1."""
-        m, need = len(self.parts), self.tau + 1  # in terms of T + 1
-        cost = np.full((need + 1, len(fp)), np.inf)
-        cost[0] = 0
-        choice = np.zeros((m, need + 1, len(fp)), np.int8)
-        for i in range(m):
-            candidates = np.cumsum(self.expected(i, fp), axis=0)
-            price = np.concatenate([np.zeros((1, len(fp))), candidates + PROBE_COST * np.array([[ball(len(self.parts[i]), t)] for t in range(len(candidates))])])
-            new = np.full_like(cost, np.inf)
-            for had in range(need + 1):
-                for t in range(min(len(price), need + 1 - had)):
-                    better = cost[had] + price[t] < new[had + t]
-                    new[had + t] = np.where(better, cost[had] + price[t], new[had + t])
-                    choice[i, had + t][better] = t
-            cost = new
-        out, at = np.zeros((m, len(fp)), np.int64), np.full(len(fp), need)
-        for i in reversed(range(m)):
-            out[i] = choice[i, at, np.arange(len(fp))]
-            at = at - out[i]
-        return out - 1
+    def allocate(self) -> None:
+        """The cheapest thresholds whose sum is tau - m + 1, by dynamic programming over parts."""
+        need, best = self.tau + 1, {0: (0.0, ())}  # in terms of T + 1
+        for i, bits in enumerate(self.parts):
+            totals = []
+            for t in range(self.most(i) + 1):
+                met = None  # of pairs of fingerprints those expected within t in this part, blocks counting as independent
+                for _, at in self.blocks[i]:
+                    own = [float((at[0] * at[d]).sum()) for d in range(t + 1)]
+                    met = own if met is None else [sum(met[j] * own[d - j] for j in range(d + 1)) / max(self.n, 1) ** 2 for d in range(t + 1)]
+                totals.append(sum(met) + PROBE_COST * self.n * ball(len(bits), t))
+            new: dict[int, tuple[float, tuple[int, ...]]] = {}
+            for had, (cost, chosen) in best.items():
+                for t, price in enumerate((0.0, *totals)):
+                    if had + t <= need and (had + t not in new or cost + price < new[had + t][0]):
+                        new[had + t] = cost + price, (*chosen, t - 1)
+            best = new
+        self.thresholds = list(best[need][1])
+
+    def masks(self) -> list[int]:
+        return [sum(1 << b for b in part) for part in self.parts]
 
 
 def ball(bits: int, radius: int) -> int:
@@ -219,6 +221,7 @@ def make_plan(distinct: DataFrame, tau: int) -> Plan:
         done.append((bits, at))
     for part in cut:
         plan.blocks.append([done.pop(0) for _ in part])
+    plan.allocate()
     return plan
 
 
@@ -235,39 +238,39 @@ def _prober(plan: Plan, bucket: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [batch.column(i).to_numpy().view(U) for i in range(3)]
-            fp = rows[0]
-            chosen = plan.thresholds(fp)
-            for i, bits in enumerate(plan.parts):
-                own, base = plan.value(fp, bits), U(i) << U(59)
-                for t in range(-1, plan.most(i) + 1):
-                    at = np.flatnonzero(chosen[i] == t)
-                    if not len(at):
-                        continue
-                    masks = np.concatenate([np.zeros(1, U), _masks(len(bits), max(t, 0))])  # with none the fingerprint is there to be found
-                    values = (own[at][:, None] ^ masks[None, :]).ravel()
-                    who = np.repeat(at, len(masks))
-                    yield from _dealt(plan, i, bits, values, base, [x[who] for x in rows], bucket)
+            for i, (bits, t) in enumerate(zip(plan.parts, plan.thresholds, strict=True)):
+                if t >= 0:
+                    masks = np.concatenate([np.zeros(1, U), _masks(len(bits), t)])
+                    values = (plan.value(rows[0], bits)[:, None] ^ masks[None, :]).ravel()
+                    who = np.repeat(np.arange(batch.num_rows), len(masks))
+                    yield from _dealt(plan, i, values, [x[who] for x in rows], bucket)
 
     return run
 
 
-def _dealt(plan: Plan, part: int, bits: list[int], values: np.ndarray, base: np.uint64, rows: list[np.ndarray], bucket: int) -> Iterator[pa.RecordBatch]:
+#: A bucket's key: part, value and pair of blocks.
+_PART, _VALUE = 60, 28
+
+
+def _dealt(plan: Plan, part: int, values: np.ndarray, rows: list[np.ndarray], bucket: int) -> Iterator[pa.RecordBatch]:
     """Rows with their bucket. A value expected to be met often has its comers split into blocks by their own bits, and every pair of blocks is a bucket."""
     place = np.zeros(len(values), U)
-    for k, bit in enumerate(bits):
+    for k, bit in enumerate(plan.parts[part]):
         place |= (values >> U(k) & U(1)) << U(bit)
-    blocks = np.ceil(plan.expected(part, place).sum(axis=0) / bucket).astype(np.int64)
+    keys = U(part) << U(_PART) | values << U(_VALUE)
+    blocks = np.minimum(np.ceil(plan.expected(part, place)[: plan.thresholds[part] + 1].sum(axis=0) / bucket), 1 << 13).astype(np.int64)
     one = blocks <= 1
-    yield _rows((base | values)[one], np.zeros(int(one.sum()), np.int64), [x[one] for x in rows])
+    yield _rows(keys[one], [x[one] for x in rows])
     for g in np.unique(blocks[~one]):
         at = np.flatnonzero(blocks == g)
-        mine = (_mixed(rows[0][at] ^ rows[1][at], 7) % U(g)).astype(np.int64)
+        mine = _mixed(rows[0][at] ^ rows[1][at], 7) % U(g)
         for other in range(g):
-            yield _rows((base | values)[at], 1 + np.minimum(mine, other) * g + np.maximum(mine, other), [x[at] for x in rows])
+            pair = U(1) + np.minimum(mine, U(other)) * U(g) + np.maximum(mine, U(other))
+            yield _rows(keys[at] | pair, [x[at] for x in rows])
 
 
-def _rows(key: np.ndarray, pair: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pair), *(pa.array(x.view(np.int64)) for x in rows)], ["key", "pair", "fp", "w0", "w1"])
+def _rows(key: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, *rows)], ["key", "fp", "w0", "w1"])
 
 
 def node_of(fp: np.ndarray, w0: np.ndarray, w1: np.ndarray, wide: bool) -> np.ndarray:
@@ -278,18 +281,32 @@ def node_of(fp: np.ndarray, w0: np.ndarray, w1: np.ndarray, wide: bool) -> np.nd
 class _Verifier:
     """Buckets in key order, in; links that span each bucket's components, out."""
 
-    def __init__(self, tau: int, wide_tau: int | None):
-        self.tau, self.wide_tau = tau, wide_tau
-
-    def linked(self, rows: list[np.ndarray], a, b) -> np.ndarray:
-        differ = np.bitwise_count(rows[0][a] ^ rows[0][b]).astype(np.int64)
-        good = differ <= self.tau
+    def __init__(self, plan: Plan, wide_tau: int | None):
+        self.tau, self.wide_tau, self.thresholds = plan.tau, wide_tau, plan.thresholds
+        self.masks, self.parts, self.value = [U(x) for x in plan.masks()], plan.parts, plan.value
+
+    def linked(self, rows: list[np.ndarray], own: np.ndarray, part: np.ndarray, a, b) -> np.ndarray:
+        """Whether a and b of the same bucket are near each other, and this is the bucket that tells of it.
+
+        One stands under its own value here, the smaller of the two if the other only probes, and no earlier part brings them together.
+        """
+        x = rows[0][a] ^ rows[0][b]
+        differ = np.bitwise_count(x).astype(np.int64)
+        good = (differ <= self.tau) & (own[a] | own[b]) & ~(own[a] & ~own[b] & (rows[0][a] > rows[0][b])) & ~(own[b] & ~own[a] & (rows[0][b] > rows[0][a]))
+        for j, (mask, t) in enumerate(zip(self.masks, self.thresholds, strict=True)):
+            if t >= 0:
+                good &= (part[b] <= j) | (np.bitwise_count(x & mask) > t)
         if self.wide_tau is not None:
             differ += np.bitwise_count(rows[1][a] ^ rows[1][b])
             good &= differ + np.bitwise_count(rows[2][a] ^ rows[2][b]) <= self.wide_tau
         return good
 
-    def links(self, start: np.ndarray, end: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, key: np.ndarray, start: np.ndarray, end: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        part = (key >> U(_PART)).astype(np.int64)
+        own = np.zeros(len(key), bool)
+        for j, bits in enumerate(self.parts):
+            at = part == j
+            own[at] = self.value(rows[0][at], bits) == (key[at] >> U(_VALUE) & U((1 << _PART - _VALUE) - 1))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         sizes = end - start
         small = np.flatnonzero((sizes > 1) & (sizes <= 48))
@@ -299,7 +316,7 @@ class _Verifier:
         while len(at):
             keep = at + step < last
             at, last = at[keep], last[keep]
-            good = self.linked(rows, at, at + step)
+            good = self.linked(rows, own, part, at, at + step)
             a.append(at[good])
             b.append(at[good] + step)
             step += 1
@@ -309,7 +326,7 @@ class _Verifier:
                 todo, left = deque([left[0]]), left[1:]
                 while todo and len(left):
                     x = todo.popleft()
-                    good = self.linked(rows, x, left)
+                    good = self.linked(rows, own, part, x, left)
                     if good.any():
                         found = left[good]
                         a.append(np.full(len(found), x))
@@ -324,23 +341,23 @@ class _Verifier:
 
         def work(final: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            key, pair, rows = columns[0], columns[1], [x.view(U) for x in columns[2:]]
-            edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1, [len(key)]])
+            key, rows = columns[0], columns[1:]
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             if not final:
                 edge = edge[:-1]  # the last bucket may go on
-            a, b = self.links(edge[:-1], edge[1:], rows)
+            a, b = self.links(key, edge[:-1], edge[1:], rows)
             node = node_of(*rows, self.wide_tau is not None)
             pairs = np.unique(np.sort(np.stack([node[a], node[b]]), axis=0), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"]), [x[edge[-1] :] for x in columns]
 
         for batch in batches:
-            held.append([x.to_numpy() for x in batch.columns])
+            columns = [x.to_numpy().view(U) for x in batch.columns]
+            held.append(columns + [np.zeros_like(columns[0])] * (4 - len(columns)))
             size += batch.num_rows
             if size >= 200_000:
                 out, rest = work(False)
                 yield out
                 held, size = [rest], len(rest[0])
-                # A bucket that fills all that is held goes on growing; its size is bounded by the split into blocks.
         if size:
             yield work(True)[0]
 
@@ -348,11 +365,11 @@ class _Verifier:
 def links(distinct: DataFrame, tau: int, wide_tau: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp, w0, w1), enough to join what is connected by differences of at most ``tau`` bits (and ``wide_tau`` of all 192)."""
     plan = make_plan(distinct, tau)
-    probes = distinct.select("fp", "w0", "w1").mapInArrow(_prober(plan, bucket), "key long, pair long, fp long, w0 long, w1 long")
+    probes = distinct.select("fp", "w0", "w1").mapInArrow(_prober(plan, bucket), "key long, fp long, w0 long, w1 long")
     if wide_tau is None:
-        probes = probes.select("key", "pair", "fp", F.lit(0).cast("long").alias("w0"), F.lit(0).cast("long").alias("w1"))
-    dealt = probes.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(_Verifier(tau, wide_tau), "a long, b long")
+        probes = probes.select("key", "fp")
+    dealt = probes.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_Verifier(plan, wide_tau), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, tau: int = 3, shingle_words: int = 3, wide_tau: int | None = None, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
