@@ -36,8 +36,11 @@ def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _counter(name: str, engine: str):
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = vocabulary(name)
+        path, seen = vocabulary(name), set()
         for part in parts:
+            # Rows that are alike in all columns meet in one task.
+            new = [x not in seen and not seen.add(x) for x in part.column("content").to_pylist()]
+            part = part.filter(pa.array(new, pa.bool_()))
             texts = part.column("text").to_pylist()
             for rows, _, n in encode_all(path, texts, engine):
                 yield pa.RecordBatch.from_arrays([part.column("content").slice(rows.start, rows.stop - rows.start), pa.array(n, pa.int64())], ["content", "n_tokens"])
@@ -66,6 +69,7 @@ def update_cache(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     texts = keyed.select("content", "text", F.col("place.h").alias("g"))
     texts = texts.join(chosen, (texts.content == chosen.c) & (texts.g == chosen.h), "left_semi")
     counted = texts.select("content", "text").mapInArrow(_counter(tokenizer, engine), "content binary, n_tokens long")
+    counted = counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counted = counted.select(F.lit(digest).alias("tokenizer"), "content", "n_tokens")
     counted.write.mode("append").option("compression", "zstd").parquet(cache)
 
