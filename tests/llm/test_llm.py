@@ -319,3 +319,50 @@ def test_dedup_keeps_one_of_repeated_rows(spark):
 
 def test_digest_is_of_the_file():
     assert token_counts.tokenizer_digest("byte_bpe_50k.json") == hashlib.sha256(open(encoding.vocabulary("byte_bpe_50k.json"), "rb").read()).digest()
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_by_exact_similarity(spark):
+    """Pairs at 0.70 to 0.95, 120 on each side of the bound, and chains: groups are those of brute force."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    pairs = []
+    for i in range(400):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        other = own.copy()
+        for at in rng.sample(range(120), rng.randint(1, 5)):
+            other[at] = f"x{rng.randrange(10**6)}"
+        pairs.append((" ".join(own), " ".join(other)))
+    s = np.array([len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs])
+    assert (s >= 0.8).sum() > 120 and ((s >= 0.8) & (s < 0.87)).sum() > 40 and (s < 0.8).sum() > 120
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = {x.doc_id for x in P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    assert [2 * i + 1 in kept for i in range(len(pairs))] == [bool(x < 0.8) for x in s]
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """More near copies than a bucket compares at once, some of them near only to some."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(150):
+        w = base.copy()
+        for at in rng.sample(range(100), rng.choice([0, 1, 2, 3, 6])):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets, label = [shingles(t) for t in texts], list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = label[i], label[j]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+    from honeyframe.llm import jaccard
+
+    found = {x.doc_id: x.nd_least for x in jaccard.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5).collect()}
+    assert [found[i] for i in range(150)] == label
