@@ -366,3 +366,13 @@ def test_near_duplicates_of_a_large_group(spark):
 
     found = {x.doc_id: x.nd_least for x in jaccard.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5).collect()}
     assert [found[i] for i in range(150)] == label
+
+
+def test_dedup_judges_rows_by_their_text(spark):
+    """Two rows of one id with different texts, one of them a copy of an earlier document: the other stays."""
+    import corpus_pipeline as P
+
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(3, y), (7, x), (7, y), (8, "one text"), (8, "another one")]
+    kept = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(3, y), (7, x), (8, "one text"), (8, "another one")])
