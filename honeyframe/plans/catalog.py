@@ -339,8 +339,9 @@ def _(spark, d):
 
 @register("vector_index_topk")
 def _(spark, d):
-    index = vector.build_index(X.vectors(spark, d), 1)
-    return vector.search_with_stats(X.vectors(spark, d), _vector_of(spark, d), 10, index=index)[0].select("q", "r", "key", F.round("score", 6).alias("score"))
+    v = X.vectors(spark, d)
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector.build_index(v, 1).search_many(asked, 10).select("query_id", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @register("vector_topk_many", O.sql("""SELECT query_id, key, rank FROM (SELECT a.vec_id AS query_id, v.key, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) DESC, v.key) AS rank

@@ -32,3 +32,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_index_recall(spark, sf, size):
+    """The registered search, at its own effort, against exact search for every id divisible by 100."""
+    d = sf.replace("sf0.001", size)
+    exact = {(x.query_id, x.key) for x in QUERIES["vector_topk_many"](spark, d).collect()}
+    found = [(x.query_id, x.key) for x in QUERIES["vector_index_topk"](spark, d).collect()]
+    assert len(found) == len(exact) == len(set(found))
+    assert len(exact & set(found)) / len(exact) >= 0.9
