@@ -1,27 +1,32 @@
 """Operator 6: scores of a hierarchical Pitman-Yor language model.
 
-A token follows a context, the class of the token before it (12 bits of its hash; the start of a text is a class too).
-Each context is a restaurant whose dishes are tokens; all context restaurants share the unigram restaurant as parent,
-whose own base is uniform over the vocabulary and one unknown token. Numbers of tables are sampled by Gibbs sweeps: in
-each, the customers of a dish in a restaurant leave and are seated again one after the other as the Chinese restaurant
-process has it, given the tables of all others, and the new seating is taken or left by the Metropolis rule. Predictive
-probabilities are averaged over the samples that follow the burn-in.
-
-Nothing is looked up row by row. Documents are cut into chunks; a chunk's distinct (token, context) pairs go, by the
-token's hash, to buckets that hold everything about their tokens: how often a pair was trained, its tables, the parent's
-tables. What buckets share has a fixed size, 4096 numbers for each kind of total, and is summed between passes. Each
-bucket then answers each chunk with the probabilities of the chunk's pairs. A token has at most 4096 pairs in a chunk,
-so no token, however frequent, makes a bucket large.
+A token's context is the token before it; the end token stands before a text's first. Each context is a restaurant whose
+dishes are tokens; all context restaurants share the unigram restaurant as parent, whose own base is uniform over the
+vocabulary and one unknown token. So the restaurants are as many as the corpus has tokens that differ. Numbers of tables
+are sampled by Gibbs sweeps: in each, the customers of a dish in a restaurant leave and are seated again one after the
+other as the Chinese restaurant process has it, given the tables of all others, and the new seating is taken or left by
+the Metropolis rule. Predictive probabilities are averaged over the samples that follow the burn-in.
+
+All work is in supersteps: rows (role, to, source, payload) are dealt by ``to``, and a task takes in one ``to`` after the
+other and sends on rows to others. Documents are cut into chunks, kept as token numbers. A chunk's distinct (token,
+context) pairs go to the token's bucket; the number of buckets follows from the bytes of text. A bucket holds the tables
+of its tokens and their share of the parent. The tables of a context, which are spread over buckets, are summed by the
+bucket that owns the context and told to those that ask, after every sweep. In the end each bucket answers each chunk with
+counts and tables, and the chunk scores its documents. A token frequent enough to make a bucket large is dealt over
+several by its contexts; the parts' totals, no more numbers than buckets, pass through the driver between sweeps, as do
+those of the parent. So what a task holds is a chunk or a bucket, whatever the corpus or its most frequent token.
+
+Tokens are told apart by 64-bit hashes, contexts by the upper 40 bits: of ten million tokens about ninety share a
+restaurant with another one. Within a sweep, totals of other buckets are those of the sweep before.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -29,18 +34,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from honeyframe.llm.common import _drop, materialise, scratch, shuffle_parts, words
+from honeyframe.llm.common import _drop, cleaned, scratch, words
 
-CLASS_BITS = 12
-CLASSES = 1 << CLASS_BITS
 CHUNK_TOKENS = 2_000_000
+#: Bytes of text to a bucket, and the occurrences from which a token is dealt over several buckets.
+BUCKET_BYTES, HOT_TOKENS = 12_000_000, 2_000_000
 #: Discounts and concentrations of the context restaurants and of their parent.
 DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 1.0, 0.7, 10.0
-BURN_IN, SAMPLES = 3, 3
-PIECE_SCHEMA = "kind int, chunk long, bucket int, payload binary"
-MERGED_SCHEMA = "bucket int, hashes binary, pairs binary, counts binary, chunks array<long>, places array<binary>, runs array<binary>"
+BURN_IN, SAMPLES = 2, 3
+ROW_SCHEMA = "role int, to long, source long, payload binary"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 U = np.uint64
+END = xxhash.xxh64_intdigest(b"")  # no word is empty
+CONTEXT_SHIFT = U(24)
+#: Roles of rows.
+CHUNK, HOT, PAIRS, TABLE, MULTI, PLACES, CONTEXTS, OWN, OWNED, TOLD, SEATED, ADDED, TOTAL, ANSWER, SAMPLE, OWN_SAMPLE = (*range(14), 20, 40)
+Held = dict[int, list[tuple[int, bytes]]]
+Row = tuple[int, int, int, bytes | None]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -49,26 +59,77 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _press(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.uint64(x.nbytes).tobytes() + x.tobytes() for x in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Arrays as byte planes, so that small numbers take little room."""
+    raw = []
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        raw += [U(x.nbytes).tobytes(), x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
 def _unpress(data: bytes, *types: str) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     for kind in types:
-        n = int(np.frombuffer(raw, U, 1, at)[0])
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
+        n, size = int(np.frombuffer(raw, U, 1, at)[0]), np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n, at + 8).reshape(size, -1)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += 8 + n
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; cumsum undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _batches(rows: Iterator[Row]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some MB."""
+    held: list[Row] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], ["role", "to", "source", "payload"])
+
+    for row in rows:
+        held.append(row)
+        size += 64 + len(row[3] or b"")
+        if size > 4_000_000:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _received(work: Callable[[int, Held], Iterator], rows: bool = True):
+    """Calls ``work`` with each ``to`` and all it has got, by role and in order of source; the rows come in order of ``to``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator:
+            at, held = 0, Held()
+            for batch in batches:
+                role, to, source = (batch.column(i).to_numpy() for i in range(3))
+                for i in range(batch.num_rows):
+                    if held and to[i] != at:
+                        yield from work(at, held)
+                        held = Held()
+                    at = int(to[i])
+                    held.setdefault(int(role[i]), []).append((int(source[i]), batch.column(3)[i].as_buffer().to_pybytes()))
+            if held:
+                yield from work(at, held)
+
+        yield from _batches(out()) if rows else out()
+
+    return run
+
+
 class _Chunk:
     """Documents until they have enough tokens."""
 
     def __init__(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.end = self.number[b""]  # no word is empty
+        self.end = self.number[b""]
         self.tokens: list[np.ndarray] = []
         self.docs: list[int | None] = []
         self.n = 0
@@ -82,71 +143,192 @@ class _Chunk:
         self.docs.append(doc_id)
         self.n += len(ids)
 
-    def rows(self, chunk: int, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+    def rows(self, chunk: int, least: int) -> Iterator[Row]:
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(x) for x in self.number], U)
-        bucket = hashes % U(buckets)
-        order = np.lexsort((hashes, bucket))
-        rank = np.empty(len(order), np.int64)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), "<u4")
         rank[order] = np.arange(len(order))
-        lengths = np.array([len(x) for x in self.tokens], np.int64)
-        local = np.concatenate(self.tokens)
-        self.tokens = []
-        classes = (hashes >> U(64 - CLASS_BITS)).astype(np.int64)
-        before = np.zeros(len(local), np.int64)
-        before[1:] = classes[local[:-1]]
-        before[np.cumsum(lengths) - lengths] = 0
-        pair, own = np.unique(rank[local] << CLASS_BITS | before, return_inverse=True)
+        lengths, hashes = np.array([len(x) for x in self.tokens], "<i8"), hashes[order]
+        tokens = rank[np.concatenate(self.tokens)]
         train = np.array([not held_out(x) for x in self.docs], bool)
-        counts = np.bincount(own, np.repeat(train, lengths), len(pair)).astype("<u4")
         ids = np.array([-1 if x is None else x for x in self.docs], "<i8")
         null = np.array([x is None for x in self.docs], np.uint8)
-        yield 0, chunk, -1, _press(ids, null, lengths.astype("<i8"), own.astype("<u4"))
-        word, before = pair >> CLASS_BITS, (pair & CLASSES - 1).astype("<u2")
-        runs = np.bincount(word, minlength=len(order)).astype("<u4")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
-        first = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])
-        for b in range(buckets):
-            a, z = edge[b], edge[b + 1]
-            if a < z:
-                yield 1, chunk, b, _press(hashes[order[a:z]], runs[a:z], before[first[a] : first[z]], counts[first[a] : first[z]])
-
-
-def _chunker(buckets: int, chunk_tokens: int):
+        yield CHUNK, chunk, 0, _press(ids, null, train.astype(np.uint8), lengths, tokens, _steps(hashes))
+        counts = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(hashes))
+        often = counts >= least
+        yield HOT, 0, chunk, _press(hashes[often], counts[often].astype("<i8"))
+
+
+def _chunker(chunk_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+
+        def out() -> Iterator[Row]:
+            seq, held = 0, _Chunk()
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    held.add(doc_id, text.as_buffer().to_pybytes() if text.is_valid else b"")
+                    if held.n >= chunk_tokens:
+                        yield from held.rows(part << 24 | seq, max(1, chunk_tokens >> 15))
+                        seq, held = seq + 1, _Chunk()
+            if held.docs:
+                yield from held.rows(part << 24 | seq, max(1, chunk_tokens >> 15))
+
+        yield from _batches(out())
+
+    return run
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column("payload"):
+            hashes, counts = _unpress(payload.as_py(), "<u8", "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["k", "n"])
+
+
+class _Layout:
+    """A chunk's distinct pairs (token << 32 | context) in order, which of them each token is, and the buckets they are dealt to."""
+
+    def __init__(self, payload: bytes, buckets: int, hot: dict[int, int]):
+        ids, null, train, lengths, tokens, steps = _unpress(payload, "<i8", "u1", "u1", "<i8", "<u4", "<u8")
+        self.ids, self.null, self.train, self.lengths = ids, null.astype(bool), train.astype(bool), lengths
+        self.hashes = np.cumsum(steps, dtype=U)
+        self.context = self.hashes >> CONTEXT_SHIFT
+        self.base = (self.context % U(buckets)).astype(np.int64)
+        before = np.empty(len(tokens), np.int64)  # a text ends with the end token, which so stands before the next
+        before[:1] = np.searchsorted(self.hashes, U(END))
+        before[1:] = tokens[:-1]
+        pairs, self.own = np.unique(tokens.astype(np.int64) << 32 | before, return_inverse=True)
+        self.token, self.before = pairs >> 32, pairs & 0xFFFFFFFF
+        parts = np.ones(len(self.hashes), U)
+        for h, k in hot.items():
+            at = int(np.searchsorted(self.hashes, U(h)))
+            if at < len(self.hashes) and self.hashes[at] == U(h):
+                parts[at] = k
+        self.bucket = (self.base[self.token] + (self.context[self.before] % parts[self.token]).astype(np.int64)) % buckets
+
+    def dealt(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each bucket that gets any: its number, its tokens in order, how many pairs each has there, and the pairs. A token is told to its first bucket even without a pair there."""
+        of_pair, of_token = np.argsort(self.bucket, kind="stable"), np.argsort(self.base, kind="stable")
+        used = np.union1d(self.bucket, self.base)
+        edge = [np.append(np.searchsorted(x, used), len(x)) for x in (self.bucket[of_pair], self.base[of_token])]
+        for i, b in enumerate(used.tolist()):
+            at = of_pair[edge[0][i] : edge[0][i + 1]]
+            dishes = np.union1d(of_token[edge[1][i] : edge[1][i + 1]], self.token[at])
+            yield b, dishes, np.bincount(np.searchsorted(dishes, self.token[at]), minlength=len(dishes)), at
+
+
+def _pairs(buckets: int, hot: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = TaskContext.get().partitionId(), 0, _Chunk()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            for row in held.rows(part << 24 | seq, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["kind", "chunk", "bucket", "payload"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.add(doc_id, text.as_buffer().to_pybytes() if text.is_valid else b"")
-                if held.n >= chunk_tokens:
-                    yield from out()
-                    seq, held = seq + 1, _Chunk()
-        if held.docs:
-            yield from out()
+        def out() -> Iterator[Row]:
+            for batch in batches:
+                for chunk, payload in zip(batch.column("to").to_pylist(), batch.column("payload"), strict=True):
+                    x = _Layout(payload.as_buffer().to_pybytes(), buckets, hot)
+                    counts = np.bincount(x.own, np.repeat(x.train, x.lengths), len(x.token)).astype("<u4")
+                    for b, dishes, runs, at in x.dealt():
+                        context = x.context[x.before[at]]
+                        steps, start = _steps(context), np.cumsum(runs) - runs
+                        start = start[runs > 0]
+                        steps[start] = context[start]
+                        yield PAIRS, b, chunk, _press(_steps(x.hashes[dishes]), runs.astype("<u4"), steps, counts[at])
+
+        yield from _batches(out())
 
     return run
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """All chunks' pairs of one bucket as one table, with each chunk's places in it."""
-    group = group.sort_values("chunk", kind="stable")
-    parts = [_unpress(x, "<u8", "<u4", "<u2", "<u4") for x in group.payload]
-    hashes = np.unique(np.concatenate([p[0] for p in parts]))
-    keys = [np.repeat(np.searchsorted(hashes, h), runs) << CLASS_BITS | before.astype(np.int64) for h, runs, before, _ in parts]
-    pairs = np.unique(np.concatenate(keys))
-    counts, places = np.zeros(len(pairs), np.int64), []
-    for key, (_, _, _, n) in zip(keys, parts, strict=True):
-        at = np.searchsorted(pairs, key)
-        counts[at] += n
-        places.append(_press(np.diff(at, prepend=0).astype("<u4")))
-    runs = [_press(p[1]) for p in parts]
-    return pd.DataFrame({"bucket": [group.bucket.iloc[0]], "hashes": [_press(hashes)], "pairs": [_press(pairs)], "counts": [_press(counts)], "chunks": [group.chunk.tolist()], "places": [places], "runs": [runs]})
+def _read_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    hashes, runs, steps, counts = _unpress(payload, "<u8", "<u4", "<u8", "<u4")
+    some = runs[runs > 0].astype(np.int64)
+    context, start = np.cumsum(steps, dtype=U), np.cumsum(some) - some
+    return np.cumsum(hashes, dtype=U), runs, context - np.repeat(context[start] - steps[start], some), counts
+
+
+def _ranges(edges: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, slice]]:
+    at = 0
+    for d, n in zip(edges.tolist(), lengths.tolist(), strict=True):
+        yield d, slice(at, at + n)
+        at += n
+
+
+def _merger(buckets: int, hot: list[int]):
+    """All chunks' pairs of a bucket as one table, with each chunk's places in it."""
+
+    def merge(b: int, got: Held) -> Iterator[Row]:
+        parts = [(chunk, *_read_pairs(payload)) for chunk, payload in got.pop(PAIRS)]
+        hashes = np.unique(np.concatenate([p[1] for p in parts]))
+        keys = [np.repeat(np.searchsorted(hashes, h), runs) << 40 | context.astype(np.int64) for _, h, runs, context, _ in parts]
+        pairs = np.unique(np.concatenate(keys))
+        counts = np.zeros(len(pairs), np.int64)
+        for i, (chunk, h, _, _, n) in enumerate(parts):
+            at = np.searchsorted(pairs, keys[i])
+            np.add.at(counts, at, n)
+            yield PLACES, b, chunk, _press(_steps(np.searchsorted(hashes, h).astype("<u4")), _steps(at.astype("<u4")))
+            keys[i] = np.zeros(0)
+        del parts, keys
+        dish = pairs >> 40
+        yield TABLE, b, 0, _press(hashes, np.bincount(dish, minlength=len(hashes)).astype("<u4"), counts.astype("<u8"))
+        trained = np.flatnonzero(counts)
+        context = (pairs[trained] & (1 << 40) - 1).astype(U)
+        known, which = np.unique(context, return_inverse=True)
+        owner = (known % U(buckets)).astype(np.int64)
+        order = np.lexsort((known, owner))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        which, types = rank[which], np.bincount(rank[which], minlength=len(order))
+        owners, sizes = np.unique(owner, return_counts=True)
+        for d, at in _ranges(owners, sizes):
+            yield CONTEXTS, d, b, _press(_steps(known[order[at]]), types[at].astype("<u4"))
+        several = counts[trained] > 1
+        single = np.bincount(dish[trained[~several]], minlength=len(hashes))
+        mine = np.flatnonzero(np.isin(hashes, np.array(hot, U)))
+        index = np.array([hot.index(int(h)) for h in hashes[mine]], "<u4")
+        base = ((hashes[mine] >> CONTEXT_SHIFT) % U(buckets) == U(b)).astype(np.uint8)
+        multi = trained[several]
+        yield MULTI, b, 0, _press(*(x.astype("<u4") for x in (_steps(multi), _steps(dish[multi]), which[several], single)), counts[multi].astype("<u8"), mine.astype("<u4"), index, base, owners.astype("<u4"), sizes.astype("<u4"))
+        found = np.bincount(dish, counts, len(hashes)).astype(np.int64)
+        n_types = np.bincount(dish[trained], minlength=len(hashes))
+        known_here = found > 0
+        known_here[mine] = False
+        for k, n in ((0, found.sum()), (1, known_here.sum()), (2, len(trained))):
+            yield TOTAL, k, int(n), None
+        for i, at in zip(index.tolist(), mine.tolist(), strict=True):
+            yield TOTAL, 4 + 3 * i, int(found[at]), None
+            yield TOTAL, 5 + 3 * i, int(n_types[at]), None
+
+    return merge
+
+
+MULTI_TYPES = ("<u4", "<u4", "<u4", "<u4", "<u8", "<u4", "<u4", "u1", "<u4", "<u4")
+SEATED_TYPES = ("<u4", "<f4", "<u4", "<f4")
+
+
+def _owned(d: int, got: Held) -> Iterator[Row]:
+    """The contexts that a bucket owns, where those of each asker stand among them, and their first tables: one for each type."""
+    asked = [(b, *_unpress(payload, "<u8", "<u4")) for b, payload in got[CONTEXTS]]
+    asked = [(b, np.cumsum(x, dtype=U), n) for b, x, n in asked]
+    own = np.unique(np.concatenate([x for _, x, _ in asked]))
+    total, places = np.zeros(len(own), np.int64), []
+    for _, x, n in asked:
+        places.append(np.searchsorted(own, x))
+        total[places[-1]] += n
+    yield OWN, d, 0, _press(own, total.astype("<u4"))
+    for (b, _, _), at in zip(asked, places, strict=True):
+        yield OWNED, d, b, _press(_steps(at.astype("<u4")))
+        yield TOLD, b, d, _press(total[at].astype("<u4"))
+
+
+def _told(d: int, got: Held) -> Iterator[Row]:
+    """Tables of the contexts that a bucket owns, after a sweep, to all who ask."""
+    own, first = _unpress(got[OWN][0][1], "<u8", "<u4")
+    total = first.astype(np.int64)
+    places = {b: np.cumsum(_unpress(payload, "<u4")[0], dtype=np.int64) for b, payload in got[OWNED]}
+    for b, payload in got.get(ADDED, []):
+        total[places[b]] += _unpress(payload, "<u4")[0]
+    for b, at in places.items():
+        yield TOLD, b, d, _press(total[at].astype("<u4"))
+    yield OWN_SAMPLE, d, 0, _press(total.astype("<u4"))
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, discount: float, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,150 +360,223 @@ def seat(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, disc
     return out, logs
 
 
-def sample_tables(bucket: int, pairs: np.ndarray, counts: np.ndarray, n_hashes: int, totals: dict[str, np.ndarray], burn_in: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tables of each trained pair and of each token in the parent, once for each sample; the same whenever it is run.
-
-    Totals of other buckets are those of the first seating, scaled as the tables here have grown since.
-    """
-    rng = np.random.default_rng([19, bucket])
-    at = np.flatnonzero(counts)
-    c, token, context = counts[at], pairs[at] >> CLASS_BITS, pairs[at] & CLASSES - 1
-    tables, logs = np.ones(len(at)), np.full(len(at), -np.inf)
-    several = np.flatnonzero(c > 1)
-    token_several, n_types = token[several], float(totals["types"].sum())
-    vocabulary = float(totals["vocabulary"][0])
-    parent_tables, parent_logs = np.ones(n_hashes), np.full(n_hashes, -np.inf)
-    uniform = 1 / (vocabulary + 1)
-    for turn in range(burn_in + samples):
-        served = np.bincount(token, tables, n_hashes)
-        used = served > 0
-        grown = tables.sum() / max(len(tables), 1)
-        parent_tables[~used] = 0
-        root = max(parent_tables.sum() / max(used.sum(), 1), 1.0) * vocabulary
-        mine = np.flatnonzero(served > 1)
-        new, weight = seat(rng, served[mine], PARENT_STRENGTH + PARENT_DISCOUNT * (root - parent_tables[mine]), PARENT_DISCOUNT, np.full(len(mine), uniform))
-        taken = np.log(rng.random(len(mine))) < weight - parent_logs[mine]
-        taken |= parent_tables[mine] > served[mine]
-        parent_tables[mine] = np.where(taken, new, parent_tables[mine])
-        parent_logs[mine] = np.where(taken, weight, parent_logs[mine])
-        parent_tables = np.where(used, np.minimum(np.maximum(parent_tables, 1), served), 0)
-        own = tables[several]
-        rest = np.maximum(served[token_several] - own - PARENT_DISCOUNT * parent_tables[token_several], 0)
-        parent = (rest + (PARENT_STRENGTH + PARENT_DISCOUNT * root) * uniform) / (PARENT_STRENGTH + n_types * grown)
-        base = STRENGTH + DISCOUNT * np.maximum(totals["types"][context[several]] * grown - own, 0)
-        new, weight = seat(rng, c[several], base, DISCOUNT, parent)
-        taken = np.log(rng.random(len(several))) < weight - logs[several]
-        tables[several] = np.where(taken, new, own)
-        logs[several] = np.where(taken, weight, logs[several])
-        if turn >= burn_in:
-            full = np.zeros(len(pairs))
-            full[at] = tables
-            served = np.bincount(token, tables, n_hashes)
-            yield full, np.minimum(parent_tables, served)
-
-
-def _sums(rows: DataFrame) -> dict[int, int]:
-    return {r.k: r.n for r in rows.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-
+def reseat(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, discount: float, parent: np.ndarray, tables: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and their log weights after a new seating was offered to each dish and taken or left by the Metropolis rule."""
+    new, weight = seat(rng, customers, base, discount, parent)
+    taken = np.log(rng.random(len(customers))) < weight - logs
+    return np.where(taken, new, tables), np.where(taken, weight, logs)
 
-def _numbers(values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int64)), pa.array(np.asarray(values, np.int64))], ["k", "n"])
 
+class Seating:
+    """Tables in one bucket: of each pair with several customers, and of each dish in the parent."""
 
-def _open(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(_unpress(batch.column(name)[i].as_py(), kind)[0] for name, kind in (("hashes", "<u8"), ("pairs", "<i8"), ("counts", "<i8")))  # type: ignore[return-value]
+    def __init__(self, multi: bytes, seated: bytes | None):
+        self.at, dish, self.context, single, self.customers, self.hot, self.hot_index, self.hot_base, self.owners, self.sizes = _unpress(multi, *MULTI_TYPES)
+        self.at, self.dish, self.single = np.cumsum(self.at, dtype=np.int64), np.cumsum(dish, dtype=np.int64), single.astype(float)
+        if seated is None:
+            self.tables, self.logs = np.ones(len(self.at)), np.full(len(self.at), -np.inf)
+            self.parent, self.parent_logs = np.ones(len(single)), np.full(len(single), -np.inf)
+        else:
+            self.tables, self.logs, self.parent, self.parent_logs = (x.astype(float) for x in _unpress(seated, *SEATED_TYPES))
+
+    def served(self) -> np.ndarray:
+        """Tables of each dish in the contexts here: its customers in the parent."""
+        return self.single + np.bincount(self.dish, self.tables, len(self.single))
+
+    def sweep(self, rng: np.random.Generator, totals: dict[int, int], told: np.ndarray) -> None:
+        """One sweep, given the totals of the sweep before: of contexts (``told``), of the parent and of dishes that have parts elsewhere."""
+        root, root_tables, uniform = totals[2], totals[3], 1 / (totals[1] + 1)
+        total = self.served()
+        total[self.hot] = [totals[5 + 3 * i] for i in self.hot_index.tolist()]
+        here = total > 0
+        here[self.hot] &= self.hot_base.astype(bool)
+        mine = np.flatnonzero(here & (total > 1))
+        offered = PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(root_tables - self.parent[mine], 0)
+        logs = np.where(self.parent[mine] > total[mine], -np.inf, self.parent_logs[mine])
+        self.parent[mine], self.parent_logs[mine] = reseat(rng, total[mine], offered, PARENT_DISCOUNT, np.full(len(mine), uniform), self.parent[mine], logs)
+        self.parent = np.where(here, np.clip(self.parent, 1, np.maximum(total, 1)), 0)
+        parent = self.parent.copy()
+        parent[self.hot] = [totals[6 + 3 * i] for i in self.hot_index.tolist()]
+        rest = np.maximum(total[self.dish] - self.tables - PARENT_DISCOUNT * parent[self.dish], 0)
+        weight = (rest + (PARENT_STRENGTH + PARENT_DISCOUNT * root_tables) * uniform) / (PARENT_STRENGTH + root)
+        offered = STRENGTH + DISCOUNT * np.maximum(told[self.context] - self.tables, 0)
+        self.tables, self.logs = reseat(rng, self.customers.astype(float), offered, DISCOUNT, weight, self.tables, self.logs)
+
+    def rows(self, b: int) -> Iterator[Row]:
+        yield SEATED, b, 0, _press(self.tables.astype("<u4"), self.logs.astype("<f4"), self.parent.astype("<u4"), self.parent_logs.astype("<f4"))
+        added = np.bincount(self.context, self.tables - 1, int(self.sizes.sum()))
+        for d, at in _ranges(self.owners, self.sizes):
+            if added[at].any():
+                yield ADDED, d, b, _press(added[at].astype("<u4"))
+        served = self.served()
+        yield TOTAL, 2, int(served.sum()), None
+        yield TOTAL, 3, int(self.parent.sum()), None
+        for i, at in zip(self.hot_index.tolist(), self.hot.tolist(), strict=True):
+            yield TOTAL, 5 + 3 * i, int(served[at]), None
+            yield TOTAL, 6 + 3 * i, int(self.parent[at]), None
+
+
+def _sweeper(turn: int, totals: dict[int, int]):
+    def sweep(b: int, got: Held) -> Iterator[Row]:
+        seating = Seating(got[MULTI][0][1], got[SEATED][0][1] if SEATED in got else None)
+        told = [_unpress(payload, "<u4")[0] for _, payload in got.get(TOLD, [])]
+        seating.sweep(np.random.default_rng([19, b, turn]), totals, np.concatenate(told).astype(float) if told else np.zeros(0))
+        yield from seating.rows(b)
+
+    return sweep
+
+
+def _answerer(samples: int):
+    """To each chunk, of its pairs in a bucket: customers and the tables of each sample; of its tokens: customers, those in the parent, tables there, and tables as a context."""
+
+    def answer(b: int, got: Held) -> Iterator[Row]:
+        hashes, runs, counts = _unpress(got[TABLE][0][1], "<u8", "<u4", "<u8")
+        own = _unpress(got[OWN][0][1], "<u8", "<u4")[0] if OWN in got else np.zeros(0, U)
+        context = hashes >> CONTEXT_SHIFT
+        place = np.searchsorted(own, context)
+        owned = np.flatnonzero(np.append(own, U(1 << 63))[place] == context)
+        of_pair, of_dish = [counts], [np.bincount(np.repeat(np.arange(len(runs)), runs), counts, len(runs)).astype("<u8")]
+        for s in range(samples):
+            seating = Seating(got[MULTI][0][1], got[SAMPLE + s][0][1])
+            tables = (counts > 0).astype("<u4")
+            tables[seating.at] = seating.tables
+            of_context = np.zeros(len(hashes), "<u4")
+            if len(own):
+                of_context[owned] = _unpress(got[OWN_SAMPLE + s][0][1], "<u4")[0][place[owned]]
+            of_pair.append(tables)
+            of_dish += [seating.served().astype("<u8"), seating.parent.astype("<u4"), of_context]
+        for chunk, payload in got[PLACES]:
+            dish, pair = (np.cumsum(x, dtype=np.int64) for x in _unpress(payload, "<u4", "<u4"))
+            yield ANSWER, chunk, b, _press(*(x[pair] for x in of_pair), *(x[dish] for x in of_dish))
+
+    return answer
+
+
+def predictive(customers: np.ndarray, tables: np.ndarray, of_context: np.ndarray, in_context: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Probability of a dish in a restaurant that has ``of_context`` tables and ``in_context`` customers in all."""
+    return (np.maximum(customers - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * of_context) * base) / (STRENGTH + in_context)
+
+
+def parent_predictive(served: np.ndarray, tables: np.ndarray, root: float, root_tables: float, vocabulary: float) -> np.ndarray:
+    """Probability of a dish in the parent, for an unknown token with no customers and no tables."""
+    return (np.maximum(served - PARENT_DISCOUNT * tables, 0) + (PARENT_STRENGTH + PARENT_DISCOUNT * root_tables) / (vocabulary + 1)) / (PARENT_STRENGTH + root)
+
+
+def _scorer(buckets: int, hot: dict[int, int], first: dict[int, int], sampled: list[dict[int, int]]):
+    samples = len(sampled)
+    types = ["<u8", *["<u4"] * samples, "<u8", *["<u8", "<u4", "<u4"] * samples]
+
+    def score(chunk: int, got: Held) -> Iterator[pa.RecordBatch]:
+        x = _Layout(got[CHUNK][0][1], buckets, hot)
+        answers = dict(got[ANSWER])
+        of_pair = np.zeros((1 + samples, len(x.token)))
+        of_token = np.zeros((1 + 3 * samples, len(x.hashes)))
+        for b, dishes, _, at in x.dealt():
+            found = _unpress(answers.pop(b), *types)
+            of_pair[:, at] = found[: 1 + samples]
+            mine = x.base[dishes] == b
+            of_token[:, dishes[mine]] = [y[mine] for y in found[1 + samples :]]
+        for i, h in enumerate(hot):
+            at = int(np.searchsorted(x.hashes, U(h)))
+            if at < len(x.hashes) and x.hashes[at] == U(h):
+                of_token[0, at] = first[4 + 3 * i]
+                for s, totals in enumerate(sampled):
+                    of_token[1 + 3 * s : 3 + 3 * s, at] = totals[5 + 3 * i], totals[6 + 3 * i]
+        p, known = np.zeros(len(x.token)), of_token[0]
+        for s, totals in enumerate(sampled):
+            served, tables, of_context = of_token[1 + 3 * s : 4 + 3 * s]
+            base = parent_predictive(served, tables, totals[2], totals[3], first[1])
+            p += predictive(of_pair[0], of_pair[1 + s], of_context[x.before], known[x.before], base[x.token])
+        n, vocabulary = first[0], first[1]
+        by_pair = np.log10((known[x.token] + 0.1) / (n + 0.1 * (vocabulary + 1))), np.log10(p / max(samples, 1)), (known[x.token] > 0).astype(np.int64)
+        start = np.cumsum(x.lengths) - x.lengths
+        base_score, total, n_known = (np.add.reduceat(y[x.own], start) for y in by_pair)
+        out = [pa.array(x.ids, pa.int64(), mask=x.null), pa.array(~x.train), pa.array(x.lengths), pa.array(n_known), pa.array(np.full(len(x.ids), n, np.int64)), pa.array(base_score), pa.array(total)]
+        yield pa.RecordBatch.from_arrays(out, [y.split()[0] for y in SCORE_SCHEMA.split(", ")])
 
+    return score
 
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over all buckets of a task."""
-    total = np.zeros(2 * CLASSES + 1, np.int64)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            hashes, pairs, counts = _open(batch, i)
-            context, at = pairs & CLASSES - 1, counts > 0
-            vocabulary = int((np.bincount(pairs >> CLASS_BITS, counts, len(hashes)) > 0).sum())
-            total += np.concatenate([np.bincount(context[at], counts[at], CLASSES), np.bincount(context[at], minlength=CLASSES), [vocabulary]]).astype(np.int64)
-    yield _numbers(total)
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, "to").sortWithinPartitions("to", "role", "source")
 
-def _seated(totals: dict[str, np.ndarray], burn_in: int, samples: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(samples * (CLASSES + 1), np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                hashes, pairs, counts = _open(batch, i)
-                out = []
-                for tables, parent in sample_tables(batch.column("bucket")[i].as_py(), pairs, counts, len(hashes), totals, burn_in, samples):
-                    out += [np.bincount(pairs & CLASSES - 1, tables, CLASSES), [parent.sum()]]
-                total += np.concatenate(out).astype(np.int64)
-        yield _numbers(total)
 
-    return run
+class _Steps:
+    """Rows as they are written, by role, until they are dropped."""
 
+    def __init__(self, spark):
+        self.spark = spark
 
-def _answers(totals: dict[str, np.ndarray], tables_of: np.ndarray, root_of: np.ndarray, burn_in: int, samples: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                hashes, pairs, counts = _open(batch, i)
-                bucket, token, context = batch.column("bucket")[i].as_py(), pairs >> CLASS_BITS, pairs & CLASSES - 1
-                p = np.zeros(len(pairs))
-                for s, (tables, parent) in enumerate(sample_tables(bucket, pairs, counts, len(hashes), totals, burn_in, samples)):
-                    served = np.bincount(token, tables, len(hashes))
-                    base = (PARENT_STRENGTH + PARENT_DISCOUNT * root_of[s]) / (totals["vocabulary"][0] + 1)
-                    unigram = (np.maximum(served - PARENT_DISCOUNT * parent, 0) + base) / (PARENT_STRENGTH + tables_of[s].sum())
-                    back = STRENGTH + DISCOUNT * tables_of[s][context]
-                    p += (np.maximum(counts - DISCOUNT * tables, 0) + back * unigram[token]) / (STRENGTH + totals["tokens"][context])
-                logs = np.log10(p / max(samples, 1)).astype("<f4")
-                known = np.bincount(token, counts, len(hashes)).astype(np.int64)
-                for chunk, places, runs in zip(*(batch.column(x)[i].as_py() for x in ("chunks", "places", "runs")), strict=True):
-                    at, run_lengths = np.cumsum(_unpress(places, "<u4")[0], dtype=np.int64), _unpress(runs, "<u4")[0]
-                    first = np.cumsum(run_lengths, dtype=np.int64) - run_lengths
-                    payload = _press(logs[at], known[token[at[first]]], run_lengths)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([payload])], ["chunk", "bucket", "payload"])
+    def write(self, rows: DataFrame, name: str) -> str:
+        path = scratch(self.spark, f"lm-{name}")
+        with cleaned(self.spark):
+            rows.write.partitionBy("role").option("compression", "none").parquet(path)
+        return path
 
-    return run
+    def step(self, rows: DataFrame, n: int, work: Callable[[int, Held], Iterator[Row]], name: str) -> str:
+        return self.write(_dealt(rows, n).mapInArrow(_received(work), ROW_SCHEMA), name)
 
+    def read(self, path: str, *roles: int, role: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema(ROW_SCHEMA).parquet(path).filter(F.col("role").isin(*roles))
+        return rows.select((F.col("role") if role is None else F.lit(role)).cast("int").alias("role"), "to", "source", "payload")
 
-def _scorer(n: int, vocabulary: int):
-    def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        ids, null, lengths, own = _unpress(docs.payload.iloc[0], "<i8", "u1", "<i8", "<u4")
-        parts = [_unpress(x, "<f4", "<i8", "<u4") for x in answers.sort_values("bucket").payload]
-        logs = np.concatenate([p[0] for p in parts]).astype(float)
-        known = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-        base = np.log10((known + 0.1) / (n + 0.1 * (vocabulary + 1)))
-        first = np.cumsum(lengths) - lengths
-        sums = [np.add.reduceat(x[own], first) for x in (base, logs, (known > 0).astype(np.int64))]
-        doc_id = pd.array(ids, "Int64")
-        doc_id[null.astype(bool)] = pd.NA
-        out = [held_out(None if z else int(x)) for x, z in zip(ids, null, strict=True)]
-        return pd.DataFrame({"doc_id": doc_id, "held_out": out, "n_tokens": lengths, "n_known": sums[2], "train_tokens": n, "base_score": sums[0], "score": sums[1]})
+    def totals(self, path: str) -> dict[int, int]:
+        """A few numbers of the whole model, and three for each token that is dealt over several buckets."""
+        return defaultdict(int, {r.to: int(r.n) for r in self.read(path, TOTAL).groupBy("to").agg(F.sum("source").alias("n")).collect()})
 
-    return score
+    def drop(self, path: str, *roles: int) -> None:
+        for role in roles:
+            _drop(self.spark, f"{path}/role={role}")
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, chunk_tokens: int = CHUNK_TOKENS, bucket_bytes: int = BUCKET_BYTES, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
-    The model learns from the rows that are not held out. A null or empty text is its end token alone. Repeated rows are
-    learnt and scored each. Only the two named columns are read. An empty table gives no rows; where all rows are held
-    out every token is unknown and has the uniform base's probability.
+    The model learns from the rows that are not held out. A null or empty text is its end token alone; a very long text
+    makes its chunk longer. A null id is held out. Repeated rows are learnt and scored each, and rows of one id each by
+    its own text; equal texts get equal scores. Only the two named columns are read, so others can't clash. An empty table
+    gives no rows; where all rows are held out every token is unknown and has the uniform base's probability.
     """
-    spark, buckets = docs.sparkSession, shuffle_parts(docs.sparkSession)
+    steps = _Steps(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    path = scratch(spark, "lm-pieces")
-    rows.mapInArrow(_chunker(buckets, chunk_tokens), PIECE_SCHEMA).write.partitionBy("kind").option("compression", "none").parquet(path)
-    pieces = spark.read.schema(PIECE_SCHEMA).parquet(path)
-    pairs = pieces.filter("kind = 1").select("chunk", "bucket", "payload")
-    merged = materialise(pairs.groupBy("bucket").applyInPandas(_merge, MERGED_SCHEMA), "lm-buckets", "none")
-    _drop(spark, f"{path}/kind=1")  # the buckets hold all of it
-    table = merged.select("bucket", "hashes", "pairs", "counts")
-    sums = _sums(table.mapInArrow(_trained, "k long, n long"))  # 8193 numbers
-    numbers = np.array([sums.get(k, 0) for k in range(2 * CLASSES + 1)], float)
-    totals = {"tokens": numbers[:CLASSES], "types": numbers[CLASSES : 2 * CLASSES], "vocabulary": numbers[-1:]}
-    sums = _sums(table.mapInArrow(_seated(totals, burn_in, samples), "k long, n long"))  # 4097 numbers for each sample
-    seated = np.array([sums.get(k, 0) for k in range(samples * (CLASSES + 1))], float).reshape(samples, CLASSES + 1)
-    answers = merged.mapInArrow(_answers(totals, seated[:, :-1], seated[:, -1], burn_in, samples), "chunk long, bucket int, payload binary")
-    texts = pieces.filter("kind = 0").select("chunk", "payload")
-    n, vocabulary = int(totals["tokens"].sum()), int(totals["vocabulary"][0])
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scorer(n, vocabulary), SCORE_SCHEMA)
+    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    chunks = steps.write(rows.mapInArrow(_chunker(chunk_tokens), ROW_SCHEMA), "chunks")
+    n_chunks = max(1, steps.read(chunks, HOT).count())
+    often = steps.read(chunks, HOT).mapInArrow(_often, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_tokens)
+    hot = {r.k % (1 << 64): min(buckets, -(-r.n // hot_tokens)) for r in often.orderBy("k").collect()}  # tokens over hot_tokens, no more than the corpus has buckets
+    hot = {h: k for h, k in hot.items() if k > 1}
+    pairs = steps.read(chunks, CHUNK).mapInArrow(_pairs(buckets, hot), ROW_SCHEMA)
+    tables = steps.step(pairs, buckets, _merger(buckets, list(hot)), "tables")
+    first = steps.totals(tables)
+    first[1] += sum(first[4 + 3 * i] > 0 for i in range(len(hot)))
+    own = steps.step(steps.read(tables, CONTEXTS), buckets, _owned, "own")
+    steps.drop(tables, CONTEXTS)
+    totals = defaultdict(int, first)
+    totals[3] = first[1]
+    totals.update({6 + 3 * i: int(first[4 + 3 * i] > 0) for i in range(len(hot))})
+    told, last, sampled, kept = own, None, [], []
+    for turn in range(burn_in + samples):
+        state = steps.read(tables, MULTI).union(steps.read(told, TOLD))
+        if last:
+            state = state.union(steps.read(last, SEATED))
+        now = steps.step(state, buckets, _sweeper(turn, totals), f"sweep{turn}")
+        totals = steps.totals(now)
+        totals[1] = first[1]
+        after = steps.step(steps.read(own, OWN, OWNED).union(steps.read(now, ADDED)), buckets, _told, f"told{turn}")
+        steps.drop(told, TOLD)
+        steps.drop(now, ADDED)
+        if last and turn <= burn_in:
+            steps.drop(last, SEATED)
+        told, last = after, now
+        if turn >= burn_in:
+            s = len(sampled)
+            sampled.append(dict(totals))
+            kept += [steps.read(now, SEATED, role=SAMPLE + s), steps.read(after, OWN_SAMPLE, role=OWN_SAMPLE + s)]
+    asked = steps.read(tables, TABLE, MULTI, PLACES).union(steps.read(own, OWN))
+    for x in kept:
+        asked = asked.union(x)
+    answers = steps.step(asked, buckets, _answerer(samples), "answers")
+    for path, roles in ((tables, (TABLE, MULTI, PLACES)), (own, (OWN, OWNED))):
+        steps.drop(path, *roles)
+    final = steps.read(chunks, CHUNK).union(steps.read(answers, ANSWER))
+    return _dealt(final, n_chunks).mapInArrow(_received(_scorer(buckets, hot, dict(first), sampled), rows=False), SCORE_SCHEMA)

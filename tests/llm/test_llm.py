@@ -233,24 +233,49 @@ def test_language_model(spark, docs, none):
 
 
 def test_probabilities_sum_to_one():
-    """Over the vocabulary and one unknown token, in every context."""
+    """Over the vocabulary and one unknown token, in the parent and in every context, for any seating."""
     rng = np.random.default_rng(3)
     words, contexts = 12, 5
-    pairs, counts = np.unique(rng.integers(0, words, 400) ** 2 // words << hpylm.CLASS_BITS | rng.integers(0, contexts, 400), return_counts=True)
-    totals = {"tokens": np.bincount(pairs & hpylm.CLASSES - 1, counts, hpylm.CLASSES), "types": np.bincount(pairs & hpylm.CLASSES - 1, minlength=hpylm.CLASSES).astype(float), "vocabulary": np.array([len(np.unique(pairs >> hpylm.CLASS_BITS))], float)}
-    for tables, parent in hpylm.sample_tables(0, pairs, counts, words, totals, 2, 3):
-        assert ((tables >= 1) & (tables <= counts)).all()
-        token, context = pairs >> hpylm.CLASS_BITS, pairs & hpylm.CLASSES - 1
-        served = np.bincount(token, tables, words)
-        of = np.bincount(context, tables, hpylm.CLASSES)
-        root = parent.sum()
-        base = (hpylm.PARENT_STRENGTH + hpylm.PARENT_DISCOUNT * root) / (totals["vocabulary"][0] + 1)
-        used = served > 0
-        unigram = (np.maximum(served - hpylm.PARENT_DISCOUNT * parent, 0) + base) / (hpylm.PARENT_STRENGTH + of.sum())
-        for k in range(contexts):
-            back = (hpylm.STRENGTH + hpylm.DISCOUNT * of[k]) / (hpylm.STRENGTH + totals["tokens"][k])
-            own = (counts - hpylm.DISCOUNT * tables)[context == k].sum() / (hpylm.STRENGTH + totals["tokens"][k])
-            assert own + back * (unigram[used].sum() + base / (hpylm.PARENT_STRENGTH + of.sum())) == pytest.approx(1)
+    customers = rng.integers(0, 4, (contexts, words)) * rng.integers(0, 9, (contexts, words))
+    tables = np.minimum(customers, rng.integers(1, 5, customers.shape))
+    served = tables.sum(0)
+    parent = np.minimum(served, rng.integers(1, 4, words))
+    root, root_tables, vocabulary = served.sum(), parent.sum(), (served > 0).sum()
+    known = hpylm.parent_predictive(served, parent, root, root_tables, vocabulary)[served > 0]
+    unknown = hpylm.parent_predictive(np.zeros(1), np.zeros(1), root, root_tables, vocabulary)
+    assert known.sum() + unknown[0] == pytest.approx(1)
+    for c, t in zip(customers, tables, strict=True):
+        every = hpylm.predictive(np.append(c[served > 0], 0), np.append(t[served > 0], 0), t.sum(), c.sum(), np.append(known, unknown))
+        assert every.sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("customers,base,parent", [(2, 1.0, 0.3), (6, 5.0, 0.05), (6, 0.4, 0.9)])
+def test_seating_by_enumeration(customers, base, parent):
+    """The Metropolis chain's tables follow the restaurant's own distribution, which generalised Stirling numbers give."""
+    d, n = 0.75, 20_000
+    ways = {1: 1.0}
+    for k in range(1, customers):
+        ways = {t: ways.get(t - 1, 0) * (base + d * (t - 1)) * parent + ways.get(t, 0) * (k - d * t) for t in range(1, k + 2)}
+    rng, tables, logs = np.random.default_rng(5), np.ones(n), np.full(n, -np.inf)
+    for _ in range(20):
+        tables, logs = hpylm.reseat(rng, np.full(n, float(customers)), np.full(n, base), d, np.full(n, parent), tables, logs)
+    share = np.bincount(tables.astype(int), minlength=customers + 1)[1:] / n
+    want = np.array([ways[t] for t in range(1, customers + 1)]) / sum(ways.values())
+    assert np.abs(share - want).max() < 0.015
+
+
+def test_language_model_over_many_buckets(spark):
+    """A frequent token dealt over several buckets leaves counts exact; the bucket count changes the draws alone; what follows a word is learnt."""
+    rng = random.Random(2)
+    texts = ["the " + " the ".join(f"w{rng.randint(0, 300)} a{rng.randint(0, 5)}" for _ in range(40)) for _ in range(300)]
+    table = spark.createDataFrame([*enumerate(texts), (None, "w1"), (7, None)], "doc_id long, text string")
+    one = {(x.doc_id, x.n_tokens): x for x in hpylm.score_documents(table).collect()}
+    many = {(x.doc_id, x.n_tokens): x for x in hpylm.score_documents(table, chunk_tokens=3000, bucket_bytes=20_000, hot_tokens=1000).collect()}
+    assert one.keys() == many.keys() and len(one) == 302
+    for key, x in one.items():
+        y = many[key]
+        assert (x.held_out, x.n_known, x.train_tokens) == (y.held_out, y.n_known, y.train_tokens) and x.base_score == pytest.approx(y.base_score)
+        assert abs(x.score - y.score) < (0.02 * abs(x.score) if x.n_tokens > 100 else 0.5) and (x.score > x.base_score or x.n_tokens < 100)
 
 
 def test_url_rules(spark):
