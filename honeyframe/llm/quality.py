@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _NOT_START = bytes(range(0x80, 0xC0))
 _SPACES = b" \t\n\v\f\r"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_open_lines", "n_upper", "n_marks", "n_bars", "n_distinct")
-#: A rule's rate and what of it counts as usual: only the excess is a feature, so that what good texts differ in by chance splits nothing.
-RULES = (("symbols per word", 0.1), ("duplicate lines", 0.35), ("repeated words", 0.3), ("open lines", 0.5), ("upper case", 0.1), ("marks per word", 0.1), ("bars per word", 0.05))
-FEATURES = ("chars per word", "lines per word", "distinct words", *(name for name, _ in RULES))
+#: Rates of which only the excess over what is usual is a feature, so that what good texts differ in by chance splits
+#: nothing; usual is what this share of the good rows that the trees are grown from stay within.
+RULES = ("symbols per word", "duplicate lines", "repeated words", "open lines", "upper case", "marks per word", "bars per word")
+USUAL = 0.999
+FEATURES = ("chars per word", "lines per word", "distinct words", *RULES)
 
 
 def statistics(text: bytes) -> tuple[int, ...]:
@@ -68,14 +70,18 @@ def _repeated(words: list[bytes], size: int = 3) -> int:
     return int(hit.sum())
 
 
-def features(stats: np.ndarray) -> np.ndarray:
-    """Rates of the counts that don't depend on a text's length."""
+def rates(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What of the counts doesn't depend on a text's length: its shape, and the rates of RULES."""
     n, chars, symbols, dup, repeat, lines, open_lines, upper, marks, bars, distinct = stats.T.astype(float)
     w, c, k = np.maximum(n, 1), np.maximum(chars, 1), np.maximum(lines, 1)
-    rates = symbols / w, dup / k, repeat / w, open_lines / k, upper / c, marks / w, bars / w
-    excess = [np.maximum(rate - usual, 0) for rate, (_, usual) in zip(rates, RULES, strict=True)]
     # Distinct words grow slower than a text: their number is told as a power of its length.
-    return np.stack([chars / w, lines / w, np.log(np.maximum(distinct, 1)) / np.maximum(np.log(w), 1), *excess], axis=1)
+    shape = np.stack([chars / w, lines / w, np.log(np.maximum(distinct, 1)) / np.maximum(np.log(w), 1)], axis=1)
+    return shape, np.stack([symbols / w, dup / k, repeat / w, open_lines / k, upper / c, marks / w, bars / w], axis=1)
+
+
+def features(stats: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    shape, rate = rates(stats)
+    return np.concatenate([shape, np.maximum(rate - usual, 0)], axis=1)
 
 
 @dataclass
@@ -88,6 +94,7 @@ class Forest:
     length: np.ndarray
     normal: float
     threshold: float = math.inf
+    usual: np.ndarray = field(default_factory=lambda: np.zeros(len(RULES)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (- mean path length / that of an unsuccessful search): near 1 is anomalous, under 0.5 is not."""
@@ -135,14 +142,14 @@ def grow(good: np.ndarray, bad: np.ndarray, trees: int = 200, sample: int = 256,
 
 
 def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, most_good_lost: float = 0.005) -> float:
-    """The threshold that tells labelled rows apart best (share of bad over it less share of good over it), among those that lose at most so many good ones."""
+    """The threshold that tells labelled rows apart best (share of bad over it less share of good over it), among those that lose at most such a share of the good ones, or a single one."""
     if not len(good) or not len(bad):
         return math.inf
     g, b = np.sort(forest.score(good)), np.sort(forest.score(bad))
     at = np.unique(np.concatenate([g, b]))
     cut = np.append((at[1:] + at[:-1]) / 2, at[-1] + 1e-6)
     lost, caught = 1 - np.searchsorted(g, cut) / len(g), 1 - np.searchsorted(b, cut) / len(b)
-    return float(cut[np.argmax(np.where(lost <= most_good_lost, caught - lost, -1))])
+    return float(cut[np.argmax(np.where(lost <= max(most_good_lost, 1.5 / len(g)), caught - lost, -1))])
 
 
 def _bytes_of(column: pa.Array) -> Iterator[bytes]:
@@ -163,24 +170,31 @@ def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest | None:
     """A forest with its threshold from at most ``labelled_rows`` labelled rows; None without good and bad ones to learn from.
 
-    The ids chosen, at most that many, are broadcast and the statistics of their texts come to the driver: a bound that doesn't grow with the corpus.
+    The ids chosen, at most that many, are broadcast and the statistics of one text of each come to the driver: a bound that doesn't grow with the corpus.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("quality")).filter("id is not null and quality in (0, 1)")
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "quality").limit(labelled_rows)
+    chosen = chosen.groupBy("id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(labelled_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))  # of an id that repeats one text
     schema = "quality int, " + ", ".join(f"{x} long" for x in STATISTICS)
     rows = texts.select("quality", "text").mapInArrow(_stat_batches, schema).toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     stats = rows[list(STATISTICS)].to_numpy()
+    return learn(stats, rows["quality"].to_numpy())
+
+
+def learn(stats: np.ndarray, quality: np.ndarray) -> Forest | None:
+    """A forest grown from half of the labelled rows that pass the base rules; the other half calibrates its threshold."""
     fine = ~base_failed(stats)
-    x, quality = features(stats[fine]), rows["quality"].to_numpy()[fine]
-    good, bad = x[quality == 1], x[quality == 0]
+    good, bad = stats[fine & (quality == 1)], stats[fine & (quality == 0)]
     rng = np.random.default_rng(11)
     good, bad = good[rng.permutation(len(good))], bad[rng.permutation(len(bad))]
     if len(good) < 8 or len(bad) < 4:
         return None
-    forest = grow(good[::2], bad[::2])
-    forest.threshold = calibrate(forest, good[1::2], bad[1::2])
+    usual = np.quantile(rates(good[::2])[1], USUAL, axis=0, method="higher")
+    forest = grow(features(good[::2], usual), features(bad[::2], usual))
+    forest.usual = usual
+    forest.threshold = calibrate(forest, features(good[1::2], usual), features(bad[1::2], usual))
     return forest
 
 
@@ -191,15 +205,15 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
 
 def _verdicts(forest: Forest | None, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     failed = base_failed(stats)
-    score = forest.score(features(stats)) if forest and len(stats) else np.zeros(len(stats))
+    score = forest.score(features(stats, forest.usual)) if forest and len(stats) else np.zeros(len(stats))
     return failed, score, ~failed & (score <= (forest.threshold if forest else math.inf))
 
 
 def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, the counts, base_failed, score and kept, in one pass without a shuffle.
 
-    A null or empty text has no words and fails the base rules. Repeated rows each get a row, ties and null ids too. Only
-    the two named columns are read. Without a forest only the base rules judge. An empty table gives no rows.
+    A null or empty text has no words and fails the base rules; a very long one is read whole. Repeated rows each get a
+    row, ties and null ids too. Only the two named columns are read. Without a forest only the base rules judge. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
