@@ -6,7 +6,9 @@ directory gives that number in constant time, so any single id is read without d
 
 A dataset is a folder of Parquet files whose rows are segments: complete images in the format below, in ascending order
 of document id (``part``, ``seq``). Parquet is only the container, which gives the atomic commit and the access through
-any file system that Spark reads. Image, little-endian: magic ``DAC1``; u32 documents, u32 levels, u64 ids; i64 document
+any file system that Spark reads; nothing in it is compressed, so an image's bytes are addressed as they lie. A segment's
+row tells which positions and documents it has, so that a position or a document finds its segment by the columns'
+statistics, and its ids in there by rank. Image, little-endian: magic ``DAC1``; u32 documents, u32 levels, u64 ids; i64 document
 ids; u8 flags (1: the document id is null); u64 ends (ids up to and with each document); then for each level u64 chunks,
 the chunks, and but for the last level the bitmap (least bit first) and u32 ranks (set bits before each 512).
 """
@@ -23,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from honeyframe.llm.common import shuffle_parts
+from honeyframe.llm.common import cleaned, shuffle_parts
 from honeyframe.llm.encoding import encode_all, vocabulary
 
-SEGMENT_SCHEMA = "part int, seq int, start_in_part long, n_docs int, n_ids long, image binary"
+SEGMENT_SCHEMA = "part int, seq int, start_in_part long, n_docs int, n_ids long, has_null boolean, least long, greatest long, image binary"
 #: A segment is closed once it has so many ids; a document is never split, so one longer than this is a segment of its own.
 SEGMENT_IDS = 1 << 18
 BLOCK = 512
@@ -67,6 +69,7 @@ class Segment:
         self.ends = np.frombuffer(image, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
         at += 17 * n_docs
         self._levels: list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]] = []
+        self._wide: dict[int, np.ndarray] = {}
         for level in range(n_levels):
             (n,) = struct.unpack_from("<Q", image, at)
             chunks = np.frombuffer(image, np.uint8, n, at + 8)
@@ -95,8 +98,39 @@ class Segment:
             shift += 8
         return value
 
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids at the given places, each by rank look-ups of its own: what lies between them is not decoded."""
+        at, who = np.asarray(at, np.int64), np.arange(len(at))
+        if len(at) and not 0 <= at.min() <= at.max() < self.n_ids:
+            raise IndexError(at)
+        out = np.zeros(len(at), "<u4")
+        for level, (chunks, bitmap, ranks) in enumerate(self._levels):
+            out[who] |= chunks[at].astype("<u4") << np.uint32(8 * level)
+            if bitmap is None:
+                break
+            more = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            at, who = at[more], who[more]
+            words = self._words(level)
+            word, bit = at >> 6, (at & 63).astype(np.uint64)
+            place = ranks[at // BLOCK] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
+            first = at // BLOCK * (BLOCK // 64)
+            for k in range(BLOCK // 64 - 1):  # the whole words of a block before the bit's own
+                before = first + k < word
+                if not before.any():
+                    break
+                place[before] += np.bitwise_count(words[first[before] + k])
+            at = place
+        return out
+
+    def _words(self, level: int) -> np.ndarray:
+        """A bitmap as 64-bit words, padded once."""
+        if level not in self._wide:
+            bitmap = self._levels[level][1]
+            self._wide[level] = np.concatenate([bitmap, np.zeros(-len(bitmap) % 8, np.uint8)]).view("<u8")
+        return self._wide[level]
+
     def ids(self) -> np.ndarray:
-        """All ids as unsigned 32-bit integers."""
+        """All ids as unsigned 32-bit integers, decoded in one go."""
         out: np.ndarray | None = None
         for chunks, bitmap, _ in reversed(self._levels):
             level = chunks.astype("<u4")
@@ -108,8 +142,7 @@ class Segment:
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, each by direct access."""
-        first = int(self.ends[k - 1]) if k else 0
-        return np.array([self[i] for i in range(first, int(self.ends[k]))], "<u4")
+        return self.take(np.arange(int(self.ends[k - 1]) if k else 0, int(self.ends[k])))
 
 
 def _writer(tokenizer: str, end_id: int | None, segment_ids: int, engine: str):
@@ -119,9 +152,10 @@ def _writer(tokenizer: str, end_id: int | None, segment_ids: int, engine: str):
 
         def close() -> pa.RecordBatch:
             ids, lengths = np.concatenate(held_ids), np.concatenate(held_lengths)
-            row = (part, seq, start, len(held_docs), len(ids), build(ids, held_docs, lengths))
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["part", "seq", "start_in_part", "n_docs", "n_ids", "image"])
+            named = [x for x in held_docs if x is not None]
+            row = (part, seq, start, len(held_docs), len(ids), len(named) < len(held_docs), min(named, default=None), max(named, default=None), build(ids, held_docs, lengths))
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")])
 
         for batch in parts:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -149,33 +183,71 @@ def _writer(tokenizer: str, end_id: int | None, segment_ids: int, engine: str):
 def write_dataset(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS, engine: str = "table") -> None:
     """Encode whole texts and write the segments in ascending order of document id.
 
-    Null texts are empty; a null id comes first; rows with the same id keep the order of their texts. Only the two named
-    columns are read. An empty table writes an empty dataset.
+    Null texts are empty; a very long text is a segment of its own. A null id comes first; rows with the same id keep the
+    order of their texts. Only the two named columns are read, so others can't clash. An empty table writes an empty dataset.
     """
     parts = shuffle_parts(docs.sparkSession)
     ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_writer(tokenizer, end_id, segment_ids, engine), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    segments = ordered.mapInArrow(_writer(tokenizer, end_id, segment_ids, engine), SEGMENT_SCHEMA)
+    with cleaned(docs.sparkSession):  # row groups of a few images, so that a look-up reads few
+        segments.write.option("compression", "none").option("parquet.block.size", 4 << 20).option("parquet.enable.dictionary", False).parquet(path)
 
 
 def _reader(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         for part, start, image in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             segment = Segment(image)
-            raw, ends = segment.ids().tobytes(), segment.ends
-            starts = np.concatenate([[0], ends[:-1]])
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array([part] * len(ends), pa.int32()), pa.array(segment.doc_ids, pa.int64()), pa.array(starts + start), pa.array(ends - starts), pa.array(crc, pa.int64())]
+            starts = np.concatenate([[0], segment.ends[:-1]])
+            raw = segment.take(np.arange(segment.n_ids)).tobytes()
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), segment.ends.tolist(), strict=True)]
+            columns = [pa.array([part] * len(crc), pa.int32()), pa.array(segment.doc_ids, pa.int64()), pa.array(starts + start), pa.array(segment.ends - starts), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
 
 
+def _bases(spark, path: str) -> list[tuple[int, int, int]]:
+    """(part, ids before it, its ids) of each part that was written; image columns are not read."""
+    segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    base, out = 0, []
+    for part, n in sorted(segments.groupBy("part").agg(F.sum("n_ids")).collect()):
+        out.append((part, base, n))
+        base += n
+    return out
+
+
 def read_directory(spark, path: str) -> DataFrame:
-    """Per document, decoded from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Per document, its ids taken from the files by direct access: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     rows = segments.select("part", "start_in_part", "image").mapInArrow(_reader, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
-    sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # one row for each part that was written
-    base, first = 0, {}
-    for row in sorted(sizes):
-        first[row.part], base = base, base + row.n
-    bases = spark.createDataFrame([*first.items()], "part int, base long")
+    bases = spark.createDataFrame([(part, base) for part, base, _ in _bases(spark, path)], "part int, base long")
     rows = rows.join(F.broadcast(bases), "part")  # as many rows as parts
     return rows.select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def token_at(spark, path: str, position: int) -> int:
+    """The id at a position of the whole dataset: one segment is read, and in it one byte of each level that the id has."""
+    for part, base, n in _bases(spark, path):
+        if base <= position < base + n:
+            at = position - base
+            here = (F.col("part") == part) & (F.col("start_in_part") <= at) & (F.col("start_in_part") + F.col("n_ids") > at)
+            start, image = spark.read.schema(SEGMENT_SCHEMA).parquet(path).filter(here).select("start_in_part", "image").first()
+            return Segment(image)[at - start]
+    raise IndexError(position)
+
+
+def _documents(doc_id: int | None):
+    def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for part, seq, image in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                segment = Segment(image)
+                own = [k for k, x in enumerate(segment.doc_ids) if x == doc_id]
+                ids = [segment.document(k).astype(np.int64) for k in own]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), pa.array([seq] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array(ids, pa.list_(pa.int64()))], ["part", "seq", "place", "ids"])
+
+    return find
+
+
+def documents(spark, path: str, doc_id: int | None) -> DataFrame:
+    """The documents of one id: part, seq and place (their order) and ids. Only segments whose range of ids has it are read, and only its ids are decoded."""
+    within = F.col("has_null") if doc_id is None else (F.col("least") <= doc_id) & (F.col("greatest") >= doc_id)
+    segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path).filter(within)
+    return segments.select("part", "seq", "image").mapInArrow(_documents(doc_id), "part int, seq int, place int, ids array<long>")
