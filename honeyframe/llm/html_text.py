@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that the field is trained on.
 TRAINING_PAGES = 500
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|button|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/])[^>]*(?:>|\Z)""", re.S | re.I)
+#: The first alternative with a name is an element whose content is no markup: all up to its end tag is left out.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/])[^>]*(?:>|\Z)""", re.S | re.I)
+_UNREAD_END = re.compile(r"</(button|select|svg)(?=[\s/>])", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Elements that begin a block, elements that never hold text, and elements of which a new one ends the last.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Controls and drawings: their text is left out up to their end tag, if they have one.
+UNREAD = frozenset("button select svg".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 NOT_IN_P = BLOCKS - {"html", "body", "head"}
@@ -44,6 +48,8 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     held: list[str] = []
     in_link, linked, at = 0, 0, 0
+    unread = None  # the element whose end tag is awaited
+    last_end = {m[1].lower(): m.start() for m in _UNREAD_END.finditer(page)}
 
     def flush() -> None:
         nonlocal linked
@@ -55,7 +61,7 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not unread:
             held.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
@@ -64,6 +70,14 @@ def leaf_blocks(page: str) -> list[Block]:
         if not name:
             continue
         tag = name.lower()
+        if tag in UNREAD:
+            if m[2]:
+                unread = None if unread == tag else unread
+            elif not unread and not m[4].endswith("/") and last_end.get(tag, -1) > m.start():
+                unread = tag
+            continue
+        if unread:
+            continue
         if tag == "a":
             in_link = 0 if m[2] else 1
         if tag in ("br", "wbr", "img", "input"):
@@ -86,7 +100,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag not in VOID:
             names = " ".join(sorted({w for found in _NAMES.findall(m[4]) for w in _WORDS.findall("".join(found).lower())}))
             stack.append((tag, names))
-    if at < len(page):
+    if at < len(page) and not unread:
         held.append(page[at:])
     flush()
     return out
@@ -206,8 +220,12 @@ def _labelled_page(rng: random.Random) -> list[tuple[Block, bool]]:
     body = [f"<h1>{mark}{words(2, 10)}</h1>"] * (rng.random() < 0.85) + [paragraph() for _ in range(rng.randint(1, 14))]
     if rng.random() < 0.35:
         body.insert(rng.randrange(len(body) + 1), noise())
-    wrap = rng.choice((("<article>", "</article>"),) * 4 + (("<main>", "</main>"), (f"<div{named('content', 'article-body', 'post', 'entry-content', 'story')}>", "</div>"), ("<main><article>", "</article></main>")))
+    wrap = rng.choice((("<article>", "</article>"),) * 4 + (("", ""), ("<main>", "</main>"), (f"<div{named('content', 'article-body', 'post', 'entry-content', 'story')}>", "</div>"), ("<main><article>", "</article></main>")))
     foot = rng.choice((f"<footer>&copy; {words(1, 3)} &middot; {sentences(1)}</footer>", f"<footer><p>{sentences(1)}</p>{menu('div', '')}</footer>", f"<div{named('footer', 'site-footer')}>&copy; {words(2, 6)}</div>"))
+    if rng.random() < 0.1:
+        head = ""
+    if rng.random() < 0.1:
+        foot = ""
     around = [noise() for _ in range(rng.randint(0, 3))], [noise() for _ in range(rng.randint(0, 3))]
     page = f"<html><head><title>{words(2, 6)}</title></head><body>{head}{''.join(around[0])}{wrap[0]}{''.join(body)}{wrap[1]}{''.join(around[1])}{foot}</body></html>"
     out = []
@@ -315,8 +333,9 @@ def main_text(field: Field, page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training_pages: int = TRAINING_PAGES) -> DataFrame:
     """Per row: id, url, text (main blocks in page order, joined by two line feeds) and n_chars, without a shuffle.
 
-    A null or empty page, or one without main text, has the empty text. Repeated rows each get a row. Only the three named
-    columns are read. An empty table gives no rows.
+    A null or empty page, or one without main text, has the empty text; a very long one is read whole. Labellings of equal
+    score go to the one that has less main text. Repeated rows, null ids and ties each get a row. Only the three named
+    columns are read, so others can't clash. An empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained_field(training_pages))
 
