@@ -47,12 +47,10 @@ def _blocks(benchmark: DataFrame, size: int, most: int, id_col: str, text_col: s
     block: dict[bytes, set[str]] = {}
     chars = 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        if item is None or text is None:
-            continue
-        for window in windows(text.encode(), size):
+        for window in windows((text or "").encode(), size):
             if window not in block:
                 chars += len(window)
-            block.setdefault(window, set()).add(item)
+            block.setdefault(window, set()).update(() if item is None else (item,))
         if chars >= most:
             yield {w: tuple(sorted(items)) for w, items in block.items()}
             block, chars = {}, 0
@@ -143,8 +141,10 @@ def _scanner(shared):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_chars: int = AUTOMATON_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_hit, items (sorted as strings), hits (merged ranges of word numbers, for original_spans).
 
-    Null and empty texts have no words; null items and items without words are never found. Repeated rows each get a
-    row. Only the named columns are read. No benchmark, or an empty one, hits nothing.
+    Null and empty texts have no words; very long ones are scanned whole. The windows of an item with a null id are hit
+    like any other, but no items are named for them; items without words are never found. Repeated rows each get a row,
+    ties and null ids too. Only the named columns are read. No benchmark, or an empty one, hits nothing; an empty table
+    gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
     key = f"id {dict(rows.dtypes)['id']}, digest long"
