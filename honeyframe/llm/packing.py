@@ -3,8 +3,11 @@
 Pieces are packed by best-fit decreasing inside partitions of bounded size. Dual-feasible functions bound from below the
 bins that any packing of a partition's pieces needs: where the bound equals the bins used, the partition is certified
 and final. A partition with a gap keeps its full bins; the documents in its other bins are exchanged with those of other
-partitions with gaps, and best-fit decreasing runs again, over ever fewer partitions, until no gap is left or one
-partition holds all that is open.
+partitions with gaps, and best-fit decreasing runs again, over as many partitions as what is open fills, until no gap is
+left, one partition holds all that is open, or an exchange saves no bin.
+
+Pieces are dealt to partitions by a number of their own, given as they are cut, so ids that are null or repeated don't
+meet in one partition.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +26,15 @@ from honeyframe.llm.common import materialise
 from honeyframe.llm.encoding import encode_all, vocabulary
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A piece's own number, beside its other columns until it is packed.
+NUMBER = "piece_number"
 #: Pieces that one partition packs at once.
 PARTITION_PIECES = 20_000
 
 
 def _cutter(tokenizer: str, end_id: int, capacity: int, engine: str):
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = vocabulary(tokenizer)
+        path, number = vocabulary(tokenizer), TaskContext.get().partitionId() << 40
         for batch in parts:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for rows, ids, n in encode_all(path, texts, engine):
@@ -39,18 +45,18 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, engine: str):
                     start, piece = 0, 0
                     while start < length:
                         size = first if not start else capacity
-                        out.append((doc, piece, start, size, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + size)])))
-                        start, piece = start + size, piece + 1
+                        out.append((doc, piece, start, size, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + size)]), number))
+                        start, piece, number = start + size, piece + 1, number + 1
                     at += length
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", NUMBER])
 
     return cut
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", engine: str = "table") -> DataFrame:
-    """Pieces of at most ``capacity`` tokens of each document with its end id; only longer documents are cut."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(tokenizer, end_id, capacity, engine), PIECE_SCHEMA)
+    """Pieces of at most ``capacity`` tokens of each document with its end id, and their numbers; only longer documents are cut."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(tokenizer, end_id, capacity, engine), f"{PIECE_SCHEMA}, {NUMBER} long")
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int], int]:
@@ -102,13 +108,13 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 def _packer(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["length", NUMBER], ascending=[False, True], kind="stable")
         sizes = group["length"].tolist()
         bins, offsets, n = best_fit_decreasing(sizes, capacity)
         bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
         fill = np.bincount(bins, weights=sizes, minlength=n)
         open_again = (n > bound) & (fill[bins] < capacity)
-        return group.assign(bin=bins, offset=offsets, open=open_again, gap=n - bound)
+        return group.assign(bin=bins, offset=offsets, open=open_again, opens=np.asarray(offsets) == 0)
 
     return pack
 
@@ -116,24 +122,27 @@ def _packer(capacity: int):
 def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces; ``pieces`` should be materialised, it is read once in each round.
 
-    A piece of full length is a sequence of its own. Rows are kept as they are, repeated ones too.
+    A piece of full length is a sequence of its own. Rows are kept as they are, repeated ones too; the number of a piece,
+    if it has none of its own, is told by its place in the table.
     """
-    columns = pieces.columns
-    full = pieces.filter(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, done, turn = pieces.filter(F.col("length") < capacity), [full], 0
-    parts = max(1, -(-rest.count() // partition_pieces))
-    schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", bucket long, bin long, offset long, open boolean, gap long"
+    columns = [c for c in pieces.columns if c != NUMBER]
+    if NUMBER not in pieces.columns:
+        pieces = materialise(pieces.withColumn(NUMBER, F.monotonically_increasing_id()), "pieces")
+    full = pieces.filter(F.col("length") == capacity).select(*columns, (-1 - F.col(NUMBER)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest, done, turn, open_bins = pieces.filter(F.col("length") < capacity), [full], 0, None
+    left = rest.count()
+    schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", bucket long, bin long, offset long, open boolean, opens boolean"
     while True:
-        dealt = rest.withColumn("bucket", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "start"), F.lit(parts)))
+        parts = max(1, -(-left // partition_pieces))  # a partition holds about as many pieces, whatever is left
+        dealt = rest.withColumn("bucket", F.pmod(F.xxhash64(F.lit(turn), F.col(NUMBER)), F.lit(parts)))
         packed = materialise(dealt.groupBy("bucket").applyInPandas(_packer(capacity), schema), f"packed{turn}")
-        last = parts == 1
+        used, left, again = packed.agg(F.count_if("opens"), F.count_if("open"), F.count_if(F.col("open") & F.col("opens"))).first()
+        last = parts == 1 or not left or open_bins is not None and used >= open_bins
         sequence = (F.lit(turn).cast("long") * (1 << 56) + F.col("bucket") * (1 << 24) + F.col("bin")).alias("sequence_id")
         done.append((packed if last else packed.filter(~F.col("open"))).select(*columns, sequence, "offset"))
-        rest = packed.filter("open").select(*columns)
-        left = 0 if last else rest.count()
-        if not left:
+        if last:
             break
-        parts = min(-(-left // partition_pieces), max(1, parts // 2))
+        rest, open_bins = packed.filter("open").select(*columns, NUMBER), again
         turn += 1
     out = done[0]
     for x in done[1:]:
@@ -144,8 +153,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTIT
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", engine: str = "table") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is its end id alone. Null and repeated document ids keep all their rows. An empty table gives an
-    empty result. Only the two named columns are read, so other columns can't clash.
+    A null or empty text is its end id alone. A very long text is cut as it is encoded. Null and repeated document ids keep
+    all their rows; pieces of one length are placed in the order they were cut. An empty table gives an empty result. Only
+    the two named columns are read, so other columns can't clash.
     """
     pieces = materialise(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, engine), "pieces")
     return pack(pieces, capacity)
