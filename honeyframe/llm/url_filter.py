@@ -6,8 +6,10 @@ was seen: P_k = (n(context, char) + M * P_{k-1}) / (n(context) + M), down to a u
 score is the mean over its characters of the log of allowed over blocked. The cut is calibrated on a fifth of the
 URLs with a rule, by their hash, that the models have not seen: the one that tells the two kinds apart best.
 
-All of it is DataFrame functions. Logs are rounded to millionths as whole numbers, so that sums don't depend on order.
-Each distinct URL is scored once; copies of one URL meet only in a join whose large keys Spark can split.
+The models read the whole URL as it is written. All of it is DataFrame functions. Logs are rounded to millionths as whole
+numbers, so that sums don't depend on order. Each distinct URL is parsed and scored once; copies of one URL meet only in a
+join whose large keys Spark can split. Contexts of no or one character, which all grams share, are broadcast: no more rows
+than there are characters.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from honeyframe.llm.common import materialise
+
 #: A rule's host with its path, and what it says.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDER, TRUST = 4, 2.0
@@ -60,7 +64,9 @@ def log_ratios(trained: DataFrame, wanted: DataFrame) -> DataFrame:
     tails = _suffixes(counts, ["a", "b"]).groupBy("tail").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     contexts = tails.groupBy(F.expr("substring(tail, 1, length(tail) - 1)").alias("context")).agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
     rows = _suffixes(_grams(wanted, []).distinct(), ["gram"]).join(tails, "tail", "left")
-    rows = rows.withColumn("context", F.expr("substring(tail, 1, length(tail) - 1)")).join(contexts, "context", "left")
+    rows = rows.withColumn("context", F.expr("substring(tail, 1, length(tail) - 1)"))
+    short, few = F.length("context") <= 1, F.broadcast(contexts.filter("length(context) <= 1"))
+    rows = rows.filter(short).join(few, "context", "left").unionByName(rows.filter(~short).join(contexts, "context", "left"))
     n = [F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("a", "b", "ca", "cb")]
     chain = rows.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.length("tail").alias("k"), *n))).alias("chain"))
 
@@ -72,8 +78,8 @@ def log_ratios(trained: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def score_urls(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Of distinct (host, path, ...) rows with s: the score in thousandths of a log unit per character, rounded down."""
-    keys = [c for c in urls.columns if c != "s"]
+    """Of distinct rows with s: the score in thousandths of a log unit per character, rounded down."""
+    keys = urls.columns
     total = _grams(urls, keys).join(ratios, "gram").groupBy(*keys).agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
     return total.select(*keys, F.floor(F.col("sum") / (1000.0 * F.col("n"))).cast("long").alias("score"))
 
@@ -101,27 +107,26 @@ def calibrate(scored: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule (null if none fits), verdict, and score where no rule fits.
 
-    A null URL, or one without ``://``, has an empty host and path, which no rule fits; it is scored like any other.
-    Repeated rows each get a row. Only the two named columns are read. An empty table gives no rows.
+    A null URL is an empty one; it and one without ``://`` have an empty host and path, which no rule fits, and are scored
+    like any other, as very long ones are. A score equal to the cut allows. Repeated rows, null ids and ties each get a
+    row. Only the two named columns are read, so others can't clash. An empty table gives no rows.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    host, path = parse("url")
-    rows = rows.select("id", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("s"))
+    host, path = parse("s")
+    urls = rows.select("s").distinct().select("s", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), says.alias("says"))
-    urls = rows.select("host", "path", "says").distinct().withColumn("s", F.concat("host", "path"))
-    labelled = urls.filter("says is not null").withColumn("good", (F.col("says") == "allow").cast("long"))
+    urls = materialise(urls.select("s", "host", "path", rule.alias("rule"), says.alias("says")), "urls")
+    labelled = urls.filter("says is not null").select("s", (F.col("says") == "allow").cast("long").alias("good"))
     unseen = F.pmod(F.crc32(F.col("s").cast("binary")), F.lit(5)) == 0
-    free = urls.filter("says is null").select("host", "path", "s", F.lit(None).cast("long").alias("good"))
-    wanted = free.unionByName(labelled.filter(unseen).select("host", "path", "s", "good"))
-    ratios = log_ratios(labelled.filter(~unseen).select("s", "good"), wanted)
-    scored = score_urls(wanted, ratios)
+    free = urls.filter("says is null").select("s", F.lit(None).cast("long").alias("good"))
+    wanted = free.unionByName(labelled.filter(unseen))
+    ratios = log_ratios(labelled.filter(~unseen), wanted)
+    scored = materialise(score_urls(wanted, ratios), "scored")
     cut = calibrate(scored.filter("good is not null"))
     judged = scored.filter("good is null").crossJoin(F.broadcast(cut))  # one row
-    judged = judged.select("host", "path", "score", F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block").alias("found"))
-    out = rows.join(judged, ["host", "path"], "left")
-    score = F.when(F.col("says").isNull(), F.col("score")).alias("score")
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("says", "found").alias("verdict"), score)
+    judged = judged.select("s", "score", F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block").alias("found"))
+    every = materialise(urls.join(judged, "s", "left").select("s", "host", "path", "rule", F.coalesce("says", "found").alias("verdict"), "score"), "judged")
+    return rows.join(every, "s").select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "score")
 
 
 _P = f"""translate(CASE WHEN position('://' IN url) > 0 THEN regexp_extract(substring(url, position('://' IN url) + 3), '^[^/?#]*', 0) ELSE '' END, '{_UPPER}', '{_LOWER}')"""
@@ -152,16 +157,16 @@ def oracle_sql() -> str:
     tails = f"unnest([substring(gram, {ORDER + 2} - k, k) FOR k IN generate_series(1, {ORDER + 1})]) AS tail"
     crc = _sql_crc32("s")
     return f"""
-WITH rows AS (SELECT page_id, {_P} AS host, {_T} AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)
+WITH rows AS (SELECT page_id, url, {_P} AS host, {_T} AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)
 ), ruled AS (SELECT *, {rule} AS rule, {says} AS says FROM rows
-), urls AS (SELECT DISTINCT host, path, says, host || path AS s FROM ruled
+), urls AS (SELECT DISTINCT says, url AS s FROM ruled
 ), hashed AS (SELECT *, {crc} % 5 = 0 AS unseen FROM urls
 ), wanted AS (
-  SELECT host, path, s, CAST(NULL AS INT) AS good FROM hashed WHERE says IS NULL UNION ALL SELECT host, path, s, CAST(says = 'allow' AS INT) FROM hashed WHERE says IS NOT NULL AND unseen
+  SELECT s, CAST(NULL AS INT) AS good FROM hashed WHERE says IS NULL UNION ALL SELECT s, CAST(says = 'allow' AS INT) FROM hashed WHERE says IS NOT NULL AND unseen
 ), counts AS (SELECT gram, sum(good) AS a, sum(1 - good) AS b FROM (SELECT CAST(says = 'allow' AS INT) AS good, {grams} FROM hashed WHERE says IS NOT NULL AND NOT unseen) GROUP BY gram
 ), tails AS (SELECT tail, sum(a) AS a, sum(b) AS b FROM (SELECT a, b, {tails} FROM counts) GROUP BY tail
 ), contexts AS (SELECT substring(tail, 1, length(tail) - 1) AS context, sum(a) AS ca, sum(b) AS cb FROM tails GROUP BY 1
-), asked AS (SELECT host, path, {grams} FROM wanted
+), asked AS (SELECT s, {grams} FROM wanted
 ), chains AS (
   SELECT gram, {columns} FROM (
     SELECT gram, length(tail) AS k, a, b, ca, cb FROM (SELECT gram, {tails} FROM (SELECT DISTINCT gram FROM asked)) q
@@ -169,15 +174,15 @@ WITH rows AS (SELECT page_id, {_P} AS host, {_T} AS path FROM (SELECT page_id, c
   ) GROUP BY gram
 ), ratios AS (SELECT gram, CAST(round(ln({_sql_chain('a')} / {_sql_chain('b')}) * 1e6) AS BIGINT) AS ratio FROM chains
 ), scored AS (
-  SELECT host, path, CAST(floor(sum(ratio)::DOUBLE / (1000.0::DOUBLE * count(*))) AS BIGINT) AS score FROM asked JOIN ratios USING (gram) GROUP BY host, path
-), held AS (SELECT score, good FROM scored JOIN wanted USING (host, path) WHERE good IS NOT NULL
+  SELECT s, CAST(floor(sum(ratio)::DOUBLE / (1000.0::DOUBLE * count(*))) AS BIGINT) AS score FROM asked JOIN ratios USING (gram) GROUP BY s
+), held AS (SELECT score, good FROM scored JOIN wanted USING (s) WHERE good IS NOT NULL
 ), by_score AS (SELECT score, sum(good) AS a, sum(1 - good) AS b FROM held GROUP BY score
 ), gains AS (
   SELECT score, (sum(a) OVER () - coalesce(sum(a) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(b) OVER ()
     - (sum(b) OVER () - coalesce(sum(b) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(a) OVER () AS gain, sum(a) OVER () > 0 AND sum(b) OVER () > 0 AS both_kinds FROM by_score
 ), cut AS (SELECT coalesce((SELECT score FROM gains WHERE both_kinds ORDER BY gain DESC, score LIMIT 1), 0) AS cut)
 SELECT page_id, r.host, r.path, r.rule, coalesce(r.says, CASE WHEN s.score >= cut THEN 'allow' ELSE 'block' END) AS verdict
-FROM ruled r LEFT JOIN scored s ON r.host = s.host AND r.path = s.path CROSS JOIN cut
+FROM ruled r LEFT JOIN scored s ON r.url = s.s CROSS JOIN cut
 """
 
 
