@@ -26,10 +26,13 @@ def words(text: bytes) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A session names it in ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a local folder is set.
+    A session names it in ``spark.checkpoint.dir``. Where that is unset a folder of this machine is set, but only if the
+    session runs on this machine alone.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "honeyframe")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
