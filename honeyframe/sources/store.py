@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -17,11 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from honeyframe import errors as E
-from honeyframe.functions.geometry import Coord, pack_one
+from honeyframe.functions.geometry import Coord, morton, pack_one
 from honeyframe.functions.scalars import content_hash
-from honeyframe.operators import snapshot
+from honeyframe.operators import snapshot, vector
 from honeyframe.operators.placement import find_free, find_unused
 
+#: Limits in bytes and rows.
 MAX_TEXT_KEY, MAX_VALUE_BYTES, BATCH, MAX_LABEL, INLINE = 220, 8192, 128, 200, 4096
 RESERVED = tuple(f"{x}/" for x in ("cell", "facet", "edge", "seam", "vector", "meta"))
 PROVENANCE = "source_id string, confidence double, created_at long, updated_at long"
@@ -32,10 +34,12 @@ SCHEMAS = {
     "seams": f"id string, deleted boolean, a_q int, a_r int, a_key long, b_q int, b_r int, b_key long, seam_type string, reason string, confidence_delta double, detected_at long, resolution_status string, resolution_note string, valid_from long, valid_to long, {PROVENANCE}",
     "vectors": "q int, r int, key long, deleted boolean, embedding array<float>",
     "kv": "k binary, deleted boolean, v binary",
-    "changelog": "wall_ns long, nth int, op int, q int, r int, key long, id string, payload string, hash string, encoded_len long",
+    "changelog": "seq long, wall_ns long, op int, q int, r int, key long, id string, payload string, hash string, encoded_len long",
 }
 IDENTITY = {"cells": ("key",), "facets": ("key", "facet_id"), "edges": ("from_key", "to_key", "relation"), "seams": ("id",), "vectors": ("key",), "kv": ("k",)}
 CURRENT_ONLY = ("edges", "vectors", "kv")
+METRICS = ("cosine", "dot", "l2")
+#: The numbers of operations in the changefeed.
 PUT_CELL, PUT_SEAM, RESOLVE_SEAM, PUT_FACET, PUT_EDGE, DELETE_CELL = range(1, 7)
 
 
@@ -63,6 +67,56 @@ def delete_cascade(families: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     return {name: df.join(gone.select(F.col("key").alias(on[name])).distinct(), on[name], "left_anti") if name in on else df for name, df in families.items()}
 
 
+#: What a bulk write's cells are where its table doesn't say.
+DEFAULTS = {"deleted": "false", "source_id": "''", "confidence": "1.0D", "tags": "cast(array() as array<string>)"}
+
+
+def as_cells(rows: DataFrame, now_ns: int) -> DataFrame:
+    """A table with at least q, r and raw_content as rows of the family: defaults where columns lack, others left out."""
+    stamps = {"created_at": str(now_ns), "updated_at": str(now_ns)}
+    have = set(rows.columns)
+    columns = []
+    for part in SCHEMAS["cells"].split(", "):
+        name, kind = part.split()
+        value = F.col(name) if name in have else morton("q", "r") if name == "key" else F.expr((DEFAULTS | stamps).get(name, "null"))
+        columns.append(value.cast(kind).alias(name))
+    return rows.select(*columns)
+
+
+def feed_of_puts(cells: DataFrame, seq: Column, wall_ns: Column) -> DataFrame:
+    """The changefeed's records of stored cells: content inline up to ``INLINE`` bytes, its hash and length always."""
+    inline = F.when(F.octet_length("raw_content") <= INLINE, F.col("raw_content"))
+    return cells.select(seq.cast("long").alias("seq"), wall_ns.cast("long").alias("wall_ns"), F.lit(PUT_CELL).alias("op"), "q", "r", "key", F.lit(None).cast("string").alias("id"), inline.alias("payload"), content_hash().alias("hash"), F.octet_length("raw_content").cast("long").alias("encoded_len"))
+
+
+@dataclass
+class ReadTx:
+    """Reads of one snapshot, whatever is committed meanwhile."""
+
+    store: Store
+    seq: int
+    writable = False
+
+    @property
+    def read_sequence(self) -> int:
+        return self.seq
+
+    def snapshot(self, family: str = "cells") -> DataFrame:
+        return self.store.snapshot(family, self.seq)
+
+    def get_cell(self, q: int, r: int) -> dict | None:
+        found = self.snapshot().filter(F.col("key") == pack_one(q, r)).first()
+        return found.asDict() if found else None
+
+    def get_seam(self, name: str) -> dict | None:
+        found = self.snapshot("seams").filter(F.col("id") == name).first()
+        return found.asDict() if found else None
+
+    def get_embedding(self, q: int, r: int) -> list[float] | None:
+        """The vector now stored; vectors have no history. None before the first vector."""
+        return self.store.get_embedding(q, r)
+
+
 @dataclass
 class Tx:
     """Writes of one commit; they are seen by get_cell and get_seam here, and by others once committed."""
@@ -70,8 +124,10 @@ class Tx:
     store: Store
     seq: int
     rows: dict[str, list[dict]] = field(default_factory=dict)
-    frames: dict[str, list[DataFrame]] = field(default_factory=dict)
+    bulk: list[tuple[int, DataFrame]] = field(default_factory=list)
     log: list[tuple] = field(default_factory=list)
+    records: int = 0
+    deferred: bool = False
 
     @property
     def read_sequence(self) -> int:
@@ -80,10 +136,11 @@ class Tx:
     writable = True
 
     def _add(self, family: str, row: dict) -> None:
-        self.rows.setdefault(family, []).append(row)
+        self.rows.setdefault(family, []).append(row | {"_n": self.records})
 
     def _note(self, op: int, q: int | None, r: int | None, payload: str | None, name: str | None = None) -> None:
-        self.log.append((op, q, r, None if q is None else pack_one(q, r), name, payload))
+        self.log.append((self.records, op, q, r, None if q is None else pack_one(q, r), name, payload))
+        self.records += 1
 
     def put_cell(self, q: int, r: int, raw_content: str, source_id: str = "", confidence: float = 1.0, tags: tuple[str, ...] = (), valid_from: int | None = None, valid_to: int | None = None, hint: Coord | None = None, now_ns: int | None = None) -> None:
         now = now_ns if now_ns is not None else time.time_ns()
@@ -97,12 +154,14 @@ class Tx:
             self.store.after_put_cell(row)
 
     def put_cells(self, cells: DataFrame) -> None:
-        """Many cells of one commit, from a table with at least q, r and raw_content; no row is gathered on the driver."""
-        bad = cells.select(invalid_cells(cells, self.store.max_value_bytes).alias("why")).filter("why is not null").limit(1).collect()
-        if bad:
-            raise E.RejectedCell(bad[0].why)
-        self.frames.setdefault("cells", []).append(cells)
-        self.frames.setdefault("changelog", []).append(cells.select(F.lit(time.time_ns()).alias("wall_ns"), F.lit(1 << 20).alias("nth"), F.lit(PUT_CELL).alias("op"), "q", "r", "key", F.lit(None).cast("string").alias("id"), F.when(F.octet_length("raw_content") <= INLINE, F.col("raw_content")).alias("payload"), content_hash().alias("hash"), F.octet_length("raw_content").cast("long").alias("encoded_len")))
+        """Many cells of one commit, from a table with at least q, r and raw_content, in the order of its rows.
+
+        Each is held to the same rules as a single put, the store's validator included; the changefeed gets a record of
+        each, and hooks are told of each in turn. Rows aren't gathered on the driver: a hook's are streamed past it.
+        """
+        staged, n = self.store.staged(cells)
+        self.bulk.append((self.records, staged))
+        self.records += n
 
     def get_cell(self, q: int, r: int) -> dict | None:
         for row in reversed(self.rows.get("cells", [])):
@@ -189,8 +248,16 @@ class Tx:
         keep = {k: v for k, v in old.items() if k in ("confidence_delta", "detected_at", "valid_from", "valid_to", "source_id", "confidence", "created_at")}
         self.put_seam(name, (old["a_q"], old["a_r"]), (old["b_q"], old["b_r"]), old["seam_type"], old["reason"], RESOLVE_SEAM, **keep, resolution_status=status, resolution_note=note)
 
-    def put_embedding(self, q: int, r: int, vector: list[float]) -> None:
-        """The first vector sets how long all are."""
+    def get_embedding(self, q: int, r: int) -> list[float] | None:
+        """The vector as this commit leaves it so far."""
+        for row in reversed(self.rows.get("vectors", [])):
+            if (row["q"], row["r"]) == (q, r):
+                return row.get("embedding")
+        return self.store.get_embedding(q, r)
+
+    def put_embedding(self, q: int, r: int, vector: list[float], deferred: bool = False) -> None:
+        """The first vector sets how long all are. ``deferred`` leaves the index dirty until it is rebuilt."""
+        self.deferred |= deferred
         dim = self.store.meta.get("dim") or next((len(x["embedding"]) for x in self.rows.get("vectors", []) if x.get("embedding")), 0)
         if not vector or any(x != x or abs(x) == float("inf") for x in vector):
             raise E.InvalidArgument("a vector has one or more finite numbers")
@@ -210,13 +277,16 @@ class Tx:
 class Store:
     """A folder of versioned tables; one writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, create: bool = True, max_value_bytes: int = MAX_VALUE_BYTES, validator: Callable[[dict], str | None] | None = None, after_put_cell: Callable | None = None, after_put_seam: Callable | None = None):
+    def __init__(self, spark: SparkSession, path: str, create: bool = True, max_value_bytes: int = MAX_VALUE_BYTES, validator: Callable[[dict], str | None] | None = None, after_put_cell: Callable | None = None, after_put_seam: Callable | None = None, metric: str = "cosine"):
+        if metric not in METRICS:
+            raise E.InvalidArgument(f"no such metric: {metric}")
         self.spark, self.path, self.max_value_bytes = spark, path.rstrip("/"), max_value_bytes
         self.validator, self.after_put_cell, self.after_put_seam = validator, after_put_cell, after_put_seam
+        self._index = None
         if not self._versions():
             if not create:
                 raise E.InvalidArgument(f"no store at {path}")
-            self._publish({"head": 0, "floor": 0, "dim": 0, "families": {}, "commits": [], "tags": {}, "consumers": {}, "version": 0})
+            self._publish({"head": 0, "floor": 0, "dim": 0, "metric": metric, "vectors": 0, "dirty": False, "records": 0, "families": {}, "commits": [], "tags": {}, "consumers": {}, "version": 0})
 
     # Files ---------------------------------------------------------------------------------------------------------
 
@@ -313,38 +383,119 @@ class Store:
         """A commit: all that is written in the block is published at once when it ends, and nothing if it raises."""
         meta = self.meta
         tx = Tx(self, meta["head"] + 1)
-        yield tx
-        self._commit(meta, tx)
+        try:
+            yield tx
+            self._commit(meta, tx)
+        finally:
+            self._drop_staged(x for _, x in tx.bulk)
+
+    @contextmanager
+    def read(self):
+        """Reads of the head as it is now."""
+        yield ReadTx(self, self.meta["head"])
+
+    def _drop_staged(self, frames: Iterable[DataFrame]) -> None:
+        for frame in frames:
+            for file in frame.inputFiles()[:1]:
+                fs, at = self._fs(file.rsplit("/", 1)[0])
+                fs.delete(at, True)
+
+    def staged(self, cells: DataFrame, order: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+        """Cells as they are to be stored, written once, with ``nth``, their number from 0 in the order given or that of the rows; and how many there are.
+
+        A row is numbered within its task as it is written, and the tasks' counts, one row each, say where each begins.
+        """
+        rows = cells.orderBy(*order) if order else cells
+        schema = f"{SCHEMAS['cells']}, _at long"
+        first = f"{self.path}/staged/{uuid.uuid4().hex}"
+        as_cells(rows, time.time_ns()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(first)
+        written = self.spark.read.schema(schema).parquet(first)
+        bad = written.select(invalid_cells(written, self.max_value_bytes).alias("why")).filter("why is not null").limit(1).collect()
+        if not bad and self.validator:
+            validator = self.validator
+
+            def refused(frames):
+                for f in frames:
+                    why = [validator(row) for row in f.to_dict("records")]
+                    yield f.assign(why=why)[["why"]]
+
+            bad = written.drop("_at").mapInPandas(refused, "why string").filter("why is not null").limit(1).collect()
+        if bad:
+            self._drop_staged([written])
+            raise E.RejectedCell(bad[0].why)
+        sizes = written.groupBy(F.shiftright("_at", 33).alias("task")).count().orderBy("task").collect()
+        starts, n = {}, 0
+        for task, size in sizes:
+            starts[task], n = n, n + size
+        base = self.spark.createDataFrame([*starts.items()], "task long, base long")
+        place = F.col("base") + F.col("_at").bitwiseAND((1 << 33) - 1)
+        numbered = written.withColumn("task", F.shiftright("_at", 33)).join(F.broadcast(base), "task").withColumn("nth", place).drop("task", "base", "_at")
+        second = f"{self.path}/staged/{uuid.uuid4().hex}"
+        numbered.write.parquet(second)
+        self._drop_staged([written])
+        out = self.spark.read.schema(f"{SCHEMAS['cells']}, nth long").parquet(second)
+        if self.after_put_cell:
+            for row in out.drop("nth").toLocalIterator():
+                self.after_put_cell(row.asDict())
+        return out, n
+
+    def import_cells(self, cells: DataFrame, order: tuple[str, ...] = (), chunk: int = BATCH) -> int:
+        """Cells of a table in commits of ``chunk`` each, in order; how many. All commits are written at once and published together."""
+        meta = self.meta
+        staged, n = self.staged(cells, order)
+        try:
+            if n:
+                head, wall = meta["head"], max(time.time_ns(), (meta["commits"][-1][1] + 1) if meta["commits"] else 0)
+                numbered = batch_commits(staged, "nth", head, chunk)
+                names = [x.split()[0] for x in SCHEMAS["cells"].split(", ")]
+                last = numbered.groupBy("key", "commit_seq").agg(F.max_by(F.struct(*names), "nth").alias("row")).select("row.*", "commit_seq")
+                last.write.mode("overwrite").parquet(f"{self.path}/cells/commit={head + 1}")
+                feed = feed_of_puts(numbered, F.col("nth") + meta["records"] + 1, F.lit(wall - head - 1) + F.col("commit_seq"))
+                feed = feed.withColumn("commit_seq", F.col("wall_ns") - (wall - head - 1))
+                feed.write.mode("overwrite").parquet(f"{self.path}/changelog/commit={head + 1}")
+                families = {k: list(v) for k, v in meta["families"].items()}
+                for family in ("cells", "changelog"):
+                    families.setdefault(family, []).append(head + 1)
+                commits = [[head + 1 + i, wall + i] for i in range(-(-n // chunk))]
+                self._publish(meta | {"head": commits[-1][0], "records": meta["records"] + n, "families": families, "commits": meta["commits"] + commits, "version": meta["version"] + 1})
+        finally:
+            self._drop_staged([staged])
+        return n
 
     def _commit(self, meta: dict, tx: Tx) -> None:
-        if not (tx.rows or tx.frames):
+        if not (tx.rows or tx.bulk):
             return
         wall = max(time.time_ns(), (meta["commits"][-1][1] + 1) if meta["commits"] else 0)
-        for i, (op, q, r, key, name, payload) in enumerate(tx.log):
+        for i, op, q, r, key, name, payload in tx.log:
             import hashlib
 
             raw = (payload or "").encode()
             has = op not in (DELETE_CELL,) and payload is not None
-            tx._add("changelog", {"wall_ns": wall, "nth": i, "op": op, "q": q, "r": r, "key": key, "id": name, "payload": payload if has and len(raw) <= INLINE else None, "hash": hashlib.sha256(raw).hexdigest() if has else None, "encoded_len": len(raw)})
+            tx._add("changelog", {"seq": meta["records"] + 1 + i, "wall_ns": wall, "op": op, "q": q, "r": r, "key": key, "id": name, "payload": payload if has and len(raw) <= INLINE else None, "hash": hashlib.sha256(raw).hexdigest() if has else None, "encoded_len": len(raw)})
         families, dim = {k: list(v) for k, v in meta["families"].items()}, meta["dim"]
-        for family in {*tx.rows, *tx.frames}:
+        for family in {*tx.rows, *(("cells", "changelog") if tx.bulk else ())}:
             schema = SCHEMAS[family]
-            parts = list(tx.frames.get(family, []))
-            if tx.rows.get(family):
-                names = [x.split()[0] for x in schema.split(", ")]
-                last = {tuple(row.get(c) for c in IDENTITY[family]): row for row in tx.rows[family]}.values() if family in IDENTITY else tx.rows[family]
-                parts.append(self.spark.createDataFrame([tuple(row.get(n) for n in names) for row in last], schema))
-                if family == "vectors":
-                    dim = dim or next((len(x["embedding"]) for x in tx.rows[family] if x.get("embedding")), 0)
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p, allowMissingColumns=True)
-            out = self.spark.createDataFrame([], schema).unionByName(out.select(*[c for c in out.columns if c in schema.replace(",", " ").split()]), allowMissingColumns=True)
-            if "deleted" in out.columns:
+            names = [x.split()[0] for x in schema.split(", ")]
+            own = tx.rows.get(family, [])
+            last = list({tuple(row.get(c) for c in IDENTITY[family]): row for row in own}.values()) if family in IDENTITY else own
+            out = self.spark.createDataFrame([(*(row.get(n) for n in names), row["_n"]) for row in last], f"{schema}, _n long")
+            if family == "vectors":
+                dim = dim or next((len(x["embedding"]) for x in own if x.get("embedding")), 0)
+            for start, staged in tx.bulk:
+                if family == "cells":
+                    out = out.unionByName(staged.withColumn("_n", F.col("nth") + start).drop("nth"))
+                elif family == "changelog":
+                    out = out.unionByName(feed_of_puts(staged, F.col("nth") + start + meta["records"] + 1, F.lit(wall)).withColumn("_n", F.lit(0).cast("long")))
+            if tx.bulk and family == "cells":  # of a cell that is put several times the last put counts
+                out = out.groupBy("key").agg(F.max_by(F.struct(*names), "_n").alias("row")).select("row.*")
+            else:
+                out = out.drop("_n")
+            if "deleted" in names:
                 out = out.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
             out.withColumn("commit_seq", F.lit(tx.seq).cast("long")).write.mode("overwrite").parquet(f"{self.path}/{family}/commit={tx.seq}")
             families.setdefault(family, []).append(tx.seq)
-        self._publish(meta | {"head": tx.seq, "dim": dim, "families": families, "commits": [*meta["commits"], [tx.seq, wall]], "version": meta["version"] + 1})
+        vectors = meta["vectors"] + ("vectors" in tx.rows)
+        self._publish(meta | {"head": tx.seq, "dim": dim, "vectors": vectors, "dirty": meta["dirty"] or tx.deferred, "records": meta["records"] + tx.records, "families": families, "commits": [*meta["commits"], [tx.seq, wall]], "version": meta["version"] + 1})
 
     def batch_put_cells(self, cells: list[dict], continue_on_error: bool = False) -> tuple[int, list[tuple[int, str]]]:
         """Cells in commits of 128; the number stored, and what was refused before it was written."""
@@ -408,6 +559,11 @@ class Store:
             self._change(floor=max(meta["floor"], before), families=meta["families"] | {"cells": [number]})
         return n
 
+    def prune_by_profile(self, retain: int, profile: str = "balanced") -> int:
+        """One pass that keeps ``retain`` commits of history, with the profile's most versions; nothing if ``retain`` says nothing."""
+        plan = snapshot.prune_plan(self.meta["head"], retain, profile)
+        return 0 if plan is None else self.prune(*plan)
+
     def compact(self, parts: int = 1) -> None:
         """Each family's files as one folder, all versions and deletions kept."""
         meta = self.meta
@@ -430,9 +586,8 @@ class Store:
     # Changefeed ----------------------------------------------------------------------------------------------------
 
     def changelog(self) -> DataFrame:
-        """Records in order: seq is the commit's sequence and the place within it."""
-        rows = self.versions("changelog")
-        return rows.withColumn("seq", F.col("commit_seq") * (1 << 21) + F.col("nth"))
+        """All records; seq counts them from 1 over all commits, without gaps."""
+        return self.versions("changelog")
 
     def advance_consumer(self, name: str, expected: int, then: int) -> None:
         """Compare and set; 0 to 0 registers, an equal advance changes nothing."""
@@ -440,7 +595,7 @@ class Store:
             raise E.InvalidArgument("a consumer has a name of 1 to 128 ASCII characters")
         meta = self.meta
         now = meta["consumers"].get(name)
-        head = meta["head"] * (1 << 21) + (1 << 21) - 1
+        head = meta["records"]
         if (now or 0) != expected or now is None and expected:
             raise E.CursorConflict(f"{name} is at {now}")
         if then < expected:
@@ -472,9 +627,42 @@ class Store:
         meta = self.meta
         return bool(meta["consumers"]) or bool(meta["families"].get("changelog"))
 
+    # Vectors -------------------------------------------------------------------------------------------------------
+
     def dimension(self) -> int:
         return self.meta["dim"]
 
+    def metric(self) -> str:
+        return self.meta["metric"]
+
+    def get_embedding(self, q: int, r: int) -> list[float] | None:
+        """The vector now stored at a coordinate; None if there is none, or no vector at all."""
+        if not self.dimension():
+            return None
+        row = self.current("vectors").filter(F.col("key") == pack_one(q, r)).select("embedding").first()
+        return None if row is None else list(row.embedding)
+
+    def index_state(self) -> dict:
+        """Which revision of the vectors is stored and indexed, and whether deferred writes wait for a rebuild."""
+        meta = self.meta
+        return {"revision": meta["vectors"], "indexed": self._index and self._index.revision, "dirty": meta["dirty"]}
+
+    def rebuild_embedding_index(self, most: int = vector.REBUILD_DEFAULT) -> vector.InvertedIndex:
+        """An index over all vectors, at most ``most`` of them; published only if no vector has been written meanwhile."""
+        revision, rows = self.meta["vectors"], self.current("vectors")
+        vector.check_rebuild(rows.count(), most)
+        built = vector.build_index(rows, revision, metric=self.metric())
+        self._index = vector.publish_index(built, self.meta["vectors"])
+        if self.meta["dirty"]:
+            self._change(dirty=False)
+        return self._index
+
+    def search_by_embedding(self, query: list[float], k: int = 10, min_score: float = 0.0, effort: int = 0) -> tuple[DataFrame, dict]:
+        """The most similar vectors, and by which path: the index if it is that of the vectors as they are, else all of them."""
+        state = self.index_state()
+        index = self._index if state["indexed"] == state["revision"] and not state["dirty"] else None
+        return vector.search_with_stats(self.current("vectors"), query, k, min_score, self.metric(), index, effort)
+
     def storage(self) -> dict[str, int]:
         """Bytes of each family's files."""
         out = {}

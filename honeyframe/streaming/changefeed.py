@@ -20,8 +20,7 @@ def read_since(feed: DataFrame, after: int, limit: int, ops: tuple[int, ...] = (
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """The feed of a store as a stream of its commits' files; a consumer applies batches idempotently."""
-    rows = spark.readStream.schema(f"{SCHEMAS['changelog']}, commit_seq long").option("recursiveFileLookup", True).parquet(f"{path.rstrip('/')}/changelog")
-    return rows.withColumn("seq", F.col("commit_seq") * (1 << 21) + F.col("nth"))
+    return spark.readStream.schema(f"{SCHEMAS['changelog']}, commit_seq long").option("recursiveFileLookup", True).parquet(f"{path.rstrip('/')}/changelog")
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str | None = None) -> DataFrame:

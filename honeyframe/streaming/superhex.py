@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from honeyframe.errors import InvalidArgument
-from honeyframe.functions.geometry import superhex_center, superhex_parent
+from honeyframe.functions.geometry import Coord, pack_one, superhex_center, superhex_parent
 from honeyframe.plans.lineage import cut
 
 PUT, DELETE = 1, 6
@@ -51,6 +51,14 @@ class SuperhexSync:
     def summary(self, parent_q: int, parent_r: int) -> DataFrame:
         return self.summaries().filter((F.col("parent_q") == parent_q) & (F.col("parent_r") == parent_r))
 
+    def summary_for(self, at: Coord) -> DataFrame:
+        """The summary of the super-hexagon that a coordinate lies in; no row if that is empty."""
+        spark = self.state.sparkSession
+        pack_one(*at)  # a coordinate outside the lattice is an error
+        q, r = superhex_parent(F.lit(at[0]), F.lit(at[1]), self.level)
+        parent = spark.range(1).select(q.alias("parent_q"), r.alias("parent_r"))
+        return self.summaries().join(F.broadcast(parent), ["parent_q", "parent_r"])
+
     def start(self, feed: DataFrame, checkpoint: str):
         """Follow a streaming feed until it has no more, batch by batch."""
         return feed.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -82,6 +82,8 @@ def test_seams_and_facets(store):
 
 def test_kv_and_consumers(store):
     with store.update() as tx:
+        for i in range(6):
+            tx.put_cell(i, 0, str(i))
         tx.put(b"app/a", b"1")
         tx.put(b"app/b", b"2")
         with pytest.raises(E.InvalidArgument):
@@ -89,7 +91,7 @@ def test_kv_and_consumers(store):
     assert store.get(b"app/a") == b"1" and store.get(b"none") is None and store.range(None, b"app/b").count() == 2
     store.advance_consumer("c", 0, 0)
     store.advance_consumer("c", 0, 5)
-    for expected, then in ((0, 6), (5, 4), (5, 1 << 60)):
+    for expected, then in ((0, 6), (5, 4), (5, 7)):
         with pytest.raises(E.CursorConflict):
             store.advance_consumer("c", expected, then)
     assert store.consumers() == [("c", 5)] and store.retention_floor() == 5 and store.has_changefeed()
@@ -146,3 +148,84 @@ def test_event_windows(spark, sf):
 
 def test_snapshot_functions(spark):
     assert snapshot.suggested_prune_seq(10, 20) == 0
+
+
+def test_bulk_commit_has_a_record_for_each_cell(spark, store):
+    """600 cells in one commit: dense sequences, a sync in batches of 256 that loses none, the last put of a cell in force."""
+    with store.update() as tx:
+        tx.put_cell(0, 0, "before")
+        tx.put_cells(spark.range(600).selectExpr("cast(id % 30 as int) q", "cast(id div 30 as int) r", "concat('n', id) raw_content"))
+        tx.put_cell(1, 0, "after")
+    feed = store.changelog()
+    assert [x.seq for x in feed.orderBy("seq").collect()] == list(range(1, 603))
+    assert [x.raw_content for x in store.view().filter("r = 0 and q < 2").orderBy("q").collect()] == ["n0", "after"]
+    assert store.view().count() == 600 and store.meta["head"] == 1
+    sync = SuperhexSync(spark, 1)
+    assert [sync.sync(feed, 256) for _ in range(4)] == [256, 256, 90, 0] and sync.state.count() == 600
+    assert sync.summary_for((0, 0)).first().occupied >= 1
+    after, row = 0, []
+    while got := read_since(feed, after, 250).collect():
+        row += got
+        after = got[-1].seq
+    assert len(row) == 602
+    with store.update() as tx:
+        tx.put_cells(spark.createDataFrame([(0, 0, "x" * 5000)], "q int, r int, raw_content string"))
+    last = store.changelog().orderBy(F.col("seq").desc()).first()
+    assert (last.seq, last.payload, last.encoded_len, last.hash) == (603, None, 5000, hashlib.sha256(b"x" * 5000).hexdigest())
+
+
+def test_bulk_writes_meet_validators_and_hooks(spark, store):
+    told = []
+    strict = Store(spark, store.path, validator=lambda row: "no" if "bad" in row["raw_content"] else None, after_put_cell=lambda row: told.append(row["raw_content"]))
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(["a", "bad", "c"])], "q int, r int, raw_content string")
+    with pytest.raises(E.RejectedCell), strict.update() as tx:
+        tx.put_cells(rows)
+    with pytest.raises(E.RejectedCell), strict.update() as tx:
+        tx.put_cells(rows.withColumn("confidence", F.lit(float("nan"))).filter("q = 0"))
+    assert strict.meta["head"] == 0 and told == []
+    with strict.update() as tx:
+        tx.put_cells(rows.filter("q <> 1"))
+    assert sorted(told) == ["a", "c"] and strict.view().count() == 2
+
+
+def test_import_in_commits_of_128(spark, store, tmp_path):
+    cells = spark.range(300).selectExpr("cast(id as int) q", "0 r", "concat('n', id) raw_content")
+    assert store.import_cells(cells, ("q",)) == 300 and store.meta["head"] == 3
+    assert [(x.commit_seq, x["count"]) for x in store.versions("cells").groupBy("commit_seq").count().orderBy("commit_seq").collect()] == [(1, 128), (2, 128), (3, 44)]
+    assert store.snapshot("cells", 1).agg(F.max("q")).first()[0] == 127 and store.snapshot("cells", 2).count() == 256
+    assert [(x.seq, x.q) for x in read_since(store.changelog(), 127, 2).collect()] == [(128, 127), (129, 128)]
+    assert store.import_cells(cells.limit(0)) == 0 and store.meta["head"] == 3
+    with store.update() as tx:
+        tx.put_cell(0, 0, "new")
+    assert store.prune_by_profile(0) == 0 and store.prune_by_profile(1) == 0 and store.prune_by_profile(0 or 4) == 0
+    assert store.prune(4, 10) == 1
+    other = store.copy_to(f"file://{tmp_path}/copy")
+    assert other.view().count() == 300 and other.storage()["cells"] > 0 and other.meta["records"] == 301
+    with store.read() as tx:
+        assert not tx.writable and tx.read_sequence == 4 and tx.get_cell(0, 0)["raw_content"] == "new" and tx.get_seam("x") is None
+
+
+def test_vectors_of_a_store(spark, store):
+    assert store.get_embedding(0, 0) is None and store.metric() == "cosine"
+    with store.update() as tx:
+        for i in range(40):
+            tx.put_embedding(i, 0, [float(i), 1.0])
+        assert tx.get_embedding(3, 0) == [3.0, 1.0]
+        with pytest.raises(E.DimensionMismatch):
+            tx.put_embedding(0, 1, [1.0])
+    assert store.get_embedding(3, 0) == [3.0, 1.0] and store.get_embedding(99, 0) is None and store.dimension() == 2
+    found, how = store.search_by_embedding([1.0, 0.0], 3)
+    assert how["path"] == "flat" and [x.q for x in found.collect()] == [39, 38, 37]
+    with pytest.raises(E.InvalidArgument):
+        store.rebuild_embedding_index(10)
+    store.rebuild_embedding_index()
+    found, how = store.search_by_embedding([1.0, 0.0], 3)
+    assert how["path"] == "index" and [x.q for x in found.collect()] == [39, 38, 37]
+    with store.update() as tx:
+        tx.delete_embedding(39, 0)
+        tx.put_embedding(50, 0, [50.0, 1.0], deferred=True)
+    assert store.index_state() == {"revision": 2, "indexed": 1, "dirty": True}
+    found, how = store.search_by_embedding([1.0, 0.0], 2)
+    assert how["path"] == "flat" and [x.q for x in found.collect()] == [50, 38]
+    store.rebuild_embedding_index()
+    assert store.index_state() == {"revision": 2, "indexed": 2, "dirty": False}
