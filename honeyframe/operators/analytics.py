@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from honeyframe.errors import InvalidArgument
 from honeyframe.functions.geometry import distance, superhex_center, superhex_parent
-from honeyframe.functions.scalars import similarity, unique_sorted_tags
+from honeyframe.functions.scalars import unique_sorted_tags
 from honeyframe.operators import seams as seam_ops, snapshot
 
 
@@ -80,9 +80,10 @@ def useful_fraction(near: DataFrame, size: str = "n_bytes") -> DataFrame:
 def total_variation(a: DataFrame, b: DataFrame) -> DataFrame:
     """Half the summed difference of two distributions over topic (topic, n); 1 where one is empty."""
     both = a.select("topic", F.col("n").alias("x")).join(b.select("topic", F.col("n").alias("y")), "topic", "full")
-    sums = both.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.collect_list(F.struct(F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))).alias("all"))
-    gap = F.aggregate("all", F.lit(0.0), lambda t, p: t + F.abs(p["x"] / F.col("sx") - p["y"] / F.col("sy"))) / 2
-    return sums.select(F.when(F.coalesce("sx", F.lit(0)) * F.coalesce("sy", F.lit(0)) == 0, 1.0).otherwise(gap).alias("divergence"))
+    sums = both.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("sx"), F.coalesce(F.sum("y"), F.lit(0)).alias("sy"))  # one row
+    x, y = F.coalesce("x", F.lit(0)) / F.col("sx"), F.coalesce("y", F.lit(0)) / F.col("sy")
+    gap = both.crossJoin(F.broadcast(sums.filter("sx * sy <> 0"))).agg((F.sum(F.abs(x - y)) / 2).alias("gap"))
+    return gap.select(F.coalesce("gap", F.lit(1.0)).alias("divergence"))
 
 
 def coordinate_stability(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -109,16 +110,6 @@ def lower_percentile(df: DataFrame, column: str, percents: list[int]) -> DataFra
     return ordered.withColumn("nth", nth).join(F.broadcast(picks), ["part", "nth"]).select("percent", "value").orderBy("percent")
 
 
-def semantic_neighbors(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    from honeyframe.operators.vector import search_many
-
-    return search_many(vectors, queries, k, metric)
-
-
-def pair_similarity(pairs: DataFrame, metric: str, a: str, b: str) -> DataFrame:
-    return pairs.withColumn("similarity", similarity(metric, a, b))
-
-
 def spread(snap: DataFrame, center=(0, 0)) -> DataFrame:
     """Cells per distance from a center."""
     return snap.groupBy(distance("q", "r", *center).alias("ring")).agg(F.count("*").alias("n")).orderBy("ring")

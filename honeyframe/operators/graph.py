@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +66,12 @@ def costs(edges: DataFrame, relation: str = "", cost: Column | None = None) -> D
     return own.groupBy("from_key", "to_key").agg(F.min("price").alias("price"), F.first("to_q").alias("to_q"), F.first("to_r").alias("to_r"))
 
 
-def shortest_paths(edges: DataFrame, start: Coord, relation: str = "", cost: Column | None = None, max_rounds: int = 0, max_edge_rows: int = 0) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: Coord, relation: str = "", cost: Column | None = None, max_rounds: int = 0, max_edge_rows: int = 0, goal: Coord | None = None, heuristic: Callable[..., Column] | None = None) -> DataFrame:
     """Cheapest paths to all that is reachable: key, q, r, cost, hops, path (coordinates). Ties: fewer hops, then the least path.
 
-    Only what a round has made cheaper is joined in the next.
+    Only what a round has made cheaper is joined in the next. With a ``goal`` only its path is sure to be the cheapest: as
+    soon as it has any cost, what can't lead to it for that cost goes no further. ``heuristic``, a function of two
+    coordinates, says what the rest of a way costs at least; without it that is nothing.
     """
     if max_edge_rows and edges.limit(max_edge_rows + 1).count() > max_edge_rows:
         raise ScanLimit(f"more than {max_edge_rows} edges")
@@ -86,15 +90,21 @@ def shortest_paths(edges: DataFrame, start: Coord, relation: str = "", cost: Col
         chosen = cut(both.select("key", F.coalesce(better, F.lit(False)).alias("better"), F.when(F.coalesce(better, F.lit(False)), F.col("new")).otherwise(F.col("old")).alias("s")))
         best = chosen.select("key", "s.*")
         changed = chosen.filter("better").select("key", "s.*")
+        if goal is not None:
+            found = best.filter(F.col("key") == pack_one(*goal)).select("cost").first()
+            at = F.element_at("path", -1)
+            ahead = F.lit(0.0) if heuristic is None else heuristic(at["q"], at["r"], F.lit(goal[0]), F.lit(goal[1]))
+            changed = changed.filter(F.col("key") != pack_one(*goal))  # a way through the goal is no shorter way to it
+            changed = changed if found is None else changed.filter(F.col("cost") + ahead <= found.cost)
         if changed.isEmpty():
             break
     end = F.element_at("path", -1)
     return best.select("key", end["q"].alias("q"), end["r"].alias("r"), "cost", "hops", "path")
 
 
-def find_path(edges: DataFrame, start: Coord, goal: Coord, relation: str = "", cost: Column | None = None, max_rounds: int = 0, max_edge_rows: int = 0) -> list[Coord] | None:
-    """The cheapest path's coordinates; None if the goal can't be reached."""
+def find_path(edges: DataFrame, start: Coord, goal: Coord, relation: str = "", cost: Column | None = None, max_rounds: int = 0, max_edge_rows: int = 0, heuristic: Callable[..., Column] | None = None) -> list[Coord] | None:
+    """The cheapest path's coordinates, by a search towards the goal; None if it can't be reached."""
     if start == goal:
         return [start]
-    row = shortest_paths(edges, start, relation, cost, max_rounds, max_edge_rows).filter(F.col("key") == pack_one(*goal)).select("path").first()
+    row = shortest_paths(edges, start, relation, cost, max_rounds, max_edge_rows, goal, heuristic).filter(F.col("key") == pack_one(*goal)).select("path").first()
     return None if row is None else [(x.q, x.r) for x in row.path]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from honeyframe.errors import InvalidArgument
+from honeyframe.errors import InvalidArgument, ScanLimit
 from honeyframe.functions import lexical
 from honeyframe.functions.geometry import MAX_RADIUS, Coord, check_radius, near
 from honeyframe.functions.scalars import has_all, has_any
@@ -172,14 +172,20 @@ def get_cell(snap: DataFrame, q: int, r: int) -> DataFrame:
     return snap.filter(F.col("key") == pack_one(q, r))
 
 
-def list_cells(snap: DataFrame, limit: int, max_rows: int = 0) -> DataFrame:
-    """Cells in key order; ``max_rows`` bounds what is looked at before the limit."""
-    rows = snap.orderBy("key")
-    if max_rows:
-        rows = rows.limit(max_rows)
-    return rows.limit(limit) if limit > 0 else rows
+def list_cells(snap: DataFrame, limit: int, max_rows: int = 0, versions: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` cells in key order, none for 0 or less.
 
-
-def capped_per_group(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("rank", rank).filter(F.col("rank") <= most)
+    ``max_rows`` bounds the stored rows that are looked at, all of ``versions`` or, without them, cells. If the limit isn't
+    met within them and there are more, ScanLimit is raised with what was found.
+    """
+    found = snap.orderBy("key").limit(max(limit, 0))
+    if not max_rows or limit <= 0:
+        return found
+    stored = (snap if versions is None else versions).select("key")
+    first = stored.orderBy("key").limit(max_rows).agg(F.max("key").alias("last"), F.count("*").alias("n")).first()
+    if first.n < max_rows:
+        return found
+    within = snap.filter(F.col("key") <= first.last).orderBy("key").limit(limit)
+    if within.count() < limit and stored.limit(max_rows + 1).count() > max_rows:
+        raise ScanLimit(f"more than {max_rows} rows", within)
+    return within

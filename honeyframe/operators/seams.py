@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from honeyframe.errors import InvalidArgument, ScanLimit
-from honeyframe.functions.geometry import MAX_SEAM_RADIUS, Coord, check_radius, distance, near, spiral
+from honeyframe.errors import ScanLimit
+from honeyframe.functions.geometry import MAX_SEAM_RADIUS, Coord, check_radius, near, spiral
 from honeyframe.functions.scalars import canonical_pair, valid_at
 from honeyframe.plans.lineage import cut
 
 SUPERSEDES, CONFLICT = "supersedes", "mark_conflict"
-MAX_HOPS, MAX_SEAMS = 16, 10_000
+MAX_HOPS, MAX_SEAMS, MAX_SEAM_ROWS = 16, 10_000, 200_000
 
 
-def find_seams(seams: DataFrame, center: Coord, radius: int, unresolved_only: bool = False, as_of: int | None = None, most: int = MAX_SEAMS) -> DataFrame:
+def find_seams(seams: DataFrame, center: Coord, radius: int, unresolved_only: bool = False, as_of: int | None = None, most: int = MAX_SEAMS, most_rows: int = MAX_SEAM_ROWS) -> DataFrame:
     """Seams with an end in the disk, each once, the nearest end first and then by id; resolved means any status but blank."""
     check_radius(center, radius, MAX_SEAM_RADIUS)
     rows = seams.filter(near("a_q", "a_r", center, radius) | near("b_q", "b_r", center, radius))
+    if most_rows and rows.select("id").limit(most_rows + 1).count() > most_rows:
+        raise ScanLimit(f"more than {most_rows} seams to look at")
     if unresolved_only:
         rows = rows.filter(F.trim("resolution_status") == "")
     if as_of is not None:
         rows = rows.filter(valid_at(as_of))
     first = F.least(spiral("a_q", "a_r", center), spiral("b_q", "b_r", center))
     rows = rows.withColumn("place", first).orderBy("place", "id")
-    if most and rows.limit(most + 1).count() > most:
+    if not most:
+        return rows
+    found = cut(rows.limit(most + 1))  # read once, for its number and for the result
+    if found.count() > most:
         raise ScanLimit(f"more than {most} seams")
-    return rows
+    return found.orderBy("place", "id")
 
 
 def seams_by_source(seams: DataFrame, source: str) -> DataFrame:
@@ -104,12 +109,6 @@ def orphans(seams: DataFrame, snap: DataFrame) -> DataFrame:
     return ends.join(live, "key", "left_anti").select("id").distinct()
 
 
-def distance_to(seams: DataFrame, center: Coord) -> DataFrame:
-    if center is None:
-        raise InvalidArgument("a center is needed")
-    return seams.withColumn("nearest", F.least(distance("a_q", "a_r", *center), distance("b_q", "b_r", *center)))
-
-
 def versions_of(seams: DataFrame) -> DataFrame:
     """One row per id, its last version."""
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.col("commit_seq").desc()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from honeyframe.errors import InvalidArgument
-from honeyframe.functions.geometry import Coord, annulus, check_radius, distance, near, render_grid, ring, spiral
+from honeyframe.functions.geometry import Coord, check_radius, distance, near, render_grid, ring, spiral
 from honeyframe.functions.scalars import valid_at
 
 
@@ -44,7 +44,7 @@ def walk_ring_facets(snap: DataFrame, facets: DataFrame, center: Coord, k: int,
         raise InvalidArgument("a mask has six bits")
     cells = _around(snap, center, k).filter(F.col("ring") == k)
     cells = cells if as_of is None else cells.filter(valid_at(as_of))
-    wanted = facets.filter(F.col("facet_id").isin([i for i in range(6) if mask >> i & 1]))
+    wanted = facets.filter(F.col("facet_id").isin([i for i in range(6) if mask >> i & 1]) & near("q", "r", center, k))
     grouped = wanted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("facet_id", "derived_content", "last_rotated", "derivation_hash"))).alias("facets"))
     return cells.join(grouped, "key", "left").orderBy("spiral")
 
@@ -72,7 +72,3 @@ def render_occupied(snap: DataFrame, center: Coord, radius: int) -> str:
     radius = min(radius, 10)
     taken = {(x.q, x.r) for x in snap.filter(near("q", "r", center, radius)).select("q", "r").collect()} if radius >= 0 else set()
     return render_grid(center, radius, lambda c: "*" if c in taken else ".")
-
-
-def coords_within(snap: DataFrame, center: Coord, low: int, high: int) -> DataFrame:
-    return annulus(snap.sparkSession, center, low, high)

@@ -12,6 +12,7 @@ from honeyframe.functions import lexical, scalars as S
 from honeyframe.operators import analytics, context, facets as facet_ops, fov, graph, placement, query, seams as seam_ops, snapshot, spatial, vector
 from honeyframe.operators.query import CellQuery, query_cells
 from honeyframe.plans import oracle as O
+from honeyframe.plans.lineage import cut
 from honeyframe.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,16 +89,15 @@ def _why(token: str) -> str:
 @register(
     "query_explain",
     O.sql(
-        f"""SELECT doc_id, 'coord=(' || q || ',' || r || ')' || regexp_replace(explanation, 'score=[0-9.]+ ', '') AS explanation FROM (
-      SELECT *, ' score=0 conf=' || printf('%.2f', confidence) || ' query="en the"' || {_why('en')} || {_why('the')} || ' tags=[' || array_to_string(tags, ' ') || ']'
+        f"""SELECT doc_id, 'coord=(' || q || ',' || r || ') score=' || printf('%.2f', round_even(score, 2)) || explanation AS explanation FROM (
+      SELECT *, ' conf=' || printf('%.2f', round_even(confidence, 2)) || ' query="en the"' || {_why('en')} || {_why('the')} || ' tags=[' || array_to_string(tags, ' ') || ']'
         || CASE WHEN valid_from IS NOT NULL THEN ' validFrom=' || strftime(make_timestamp(valid_from // 1000), '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS explanation, {O.score(['en', 'the'])} AS score FROM cells WHERE {O.matched(['en', 'the'])})
     ORDER BY score DESC, confidence DESC, key LIMIT 30""",
         "cells",
     ),
 )
 def _(spark, d):
-    out = query_cells(X.cells(spark, d), CellQuery("en THE", explain=True, max_results=30))
-    return out.select("doc_id", F.regexp_replace("explanation", r"score=[0-9.]+ ", "").alias("explanation"))
+    return query_cells(X.cells(spark, d), CellQuery("en THE", explain=True, max_results=30)).select("doc_id", "explanation")
 
 
 @register("query_scan_budget", O.sql(f"SELECT doc_id, q, r, round({O.score([])}, 6) AS score FROM (SELECT * FROM cells ORDER BY key LIMIT 100) WHERE confidence >= 0.5", "cells"))
@@ -137,7 +137,7 @@ def _(spark, d):
     return _ids(query.get_cell(X.cells(spark, d), 3, -2), "key", "raw_content")
 
 
-@register("list_cells", O.sql("SELECT doc_id, q, r FROM (SELECT * FROM cells ORDER BY key LIMIT 120) ORDER BY key LIMIT 75", "cells"))
+@register("list_cells", O.sql("SELECT doc_id, q, r FROM cells ORDER BY key LIMIT 75", "cells"))
 def _(spark, d):
     return _ids(query.list_cells(X.cells(spark, d), 75, 120))
 
@@ -146,7 +146,12 @@ def _(spark, d):
 def _(spark, d):
     from pyspark.sql import Window
 
-    return X.cells(spark, d).select("doc_id", "key", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))
+    # Numbered within ranges of keys, and over the ranges by their sizes, of which there is one row each.
+    cells = cut(X.cells(spark, d).select("doc_id", "key").repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    sizes = cells.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("key"))
+    return cells.withColumn("nth", within).join(F.broadcast(sizes.withColumn("before", before)), "part").select("doc_id", "key", (F.col("nth") + F.col("before")).cast("long").alias("place"))
 
 
 # Space -----------------------------------------------------------------------------------------------------------------
@@ -337,6 +342,14 @@ def _(spark, d):
     return vector.search(X.vectors(spark, d), _vector_of(spark, d), 50, min_score=0.2).select("q", "r", "key", F.round("score", 6).alias("score"))
 
 
+@register("vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, d):
+    """Whether the index, at its own effort, finds 0.9 of what the exact search finds, over all ids divisible by 100."""
+    exact, found = (QUERIES[x](spark, d).select("query_id", "key") for x in ("vector_topk_many", "vector_index_topk"))
+    both = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "key"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
+
+
 @register("vector_index_topk")
 def _(spark, d):
     v = X.vectors(spark, d)
@@ -466,16 +479,16 @@ def _(spark, d):
     return graph.walk(X.edges(spark, d), (0, 0), "evidence-route", 5).select("q", "r", "level")
 
 
-# Every cost is a multiple of a quarter, so that sums are exact; a bound on the cost closes the recursion.
-_COST = "paths AS (SELECT 0::BIGINT AS key, 0.0::DOUBLE AS cost UNION SELECT to_key, cost + weight FROM paths JOIN cheapest ON from_key = key WHERE cost + weight <= 12)"
+#: From the first document's coordinate to that of the document with the number 150.
+GOAL = G.spiral_offset(150)
+# Every cost is a multiple of a quarter, so that sums are exact.
+_COST = """paths(key, cost) USING KEY (key) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION
+   SELECT to_key, min(paths.cost + weight) FROM paths JOIN cheapest ON from_key = paths.key LEFT JOIN recurring.paths known ON known.key = to_key WHERE known.cost IS NULL OR paths.cost + weight < known.cost GROUP BY to_key)"""
 
 
-@register("shortest_path_cost", O.sql("SELECT key, min(cost) AS cost FROM paths GROUP BY key", "edges", more="cheapest AS (SELECT from_key, to_key, min(CASE WHEN weight > 0 THEN weight ELSE 1 END) AS weight FROM edges GROUP BY ALL), " + _COST, recursive=True))
+@register("shortest_path_cost", O.sql(f"SELECT key, cost FROM paths WHERE key = {G.pack_one(*GOAL)}", "edges", more="cheapest AS (SELECT from_key, to_key, min(CASE WHEN weight > 0 THEN weight ELSE 1 END) AS weight FROM edges GROUP BY ALL), " + _COST, recursive=True))
 def _(spark, d):
-    # Every edge costs 1 or more: a path of a cost up to 12 has at most 12 of them.
-    edges = X.edges(spark, d)
-    reach = graph.walk(edges, (0, 0), "", 12).select(F.col("key").alias("from_key"))
-    return graph.shortest_paths(edges.join(reach, "from_key", "left_semi"), (0, 0)).filter("cost <= 12").select("key", "cost")
+    return graph.shortest_paths(X.edges(spark, d), (0, 0), goal=GOAL).filter(F.col("key") == G.pack_one(*GOAL)).select("key", "cost")
 
 
 # Context ---------------------------------------------------------------------------------------------------------------
@@ -633,10 +646,11 @@ def _(spark, d):
     return placement.find_unused(X.cell_versions(spark, d), (0, 0), 40).select("q", "r", "probes")
 
 
-@register("bulk_placement", O.sql(f"""SELECT b.vec_id, f.q, f.r FROM (SELECT q, r, row_number() OVER (ORDER BY n) AS k FROM {O.disk((0, 0), 0, 60)} WHERE (q, r) NOT IN (SELECT (q, r) FROM live)) f JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings WHERE vec_id < 300) b USING (k)""", "live"))
+@register("bulk_placement", O.sql(f"""SELECT b.vec_id, f.q, f.r FROM (SELECT q, r, row_number() OVER (ORDER BY n) AS k FROM {O.disk((0, 0), 0, 200)} WHERE (q, r) NOT IN (SELECT (q, r) FROM live)) f JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings) b USING (k)""", "live"))
 def _(spark, d):
-    docs = X.read(spark, d, "embeddings").filter("vec_id < 300").select("vec_id")
-    return placement.place_all(docs, snapshot.snapshot(X.cell_versions(spark, d)), (0, 0), 60, "vec_id").select("vec_id", "q", "r")
+    docs, taken = X.read(spark, d, "embeddings").select("vec_id"), snapshot.snapshot(X.cell_versions(spark, d))
+    radius = G.radius_for(docs.count() + taken.count())
+    return placement.place_all(docs, taken, (0, 0), radius, "vec_id").select("vec_id", "q", "r")
 
 
 @register("neighborhood_precision", O.sql(f"""SELECT a AS center, sum(CAST(same AS BIGINT))::BIGINT AS same, count(*) AS n FROM (SELECT x.vec_id AS a, x.label = y.label AS same FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND {O.dist('x.q', 'x.r', 'y.q', 'y.r')} <= 2
@@ -689,12 +703,13 @@ def _(spark, d):
     return out.select("q.conv_id", "q.turn", F.array_join("tags", "|").alias("tags"), "source_id", "confidence")
 
 
-@register("fact_cells", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'fact' ELSE 'fact|' || lang END AS tags, source AS source_id FROM documents WHERE lang IN ('en', 'de')")
+@register("fact_cells", "SELECT doc_id, CASE WHEN lang IN ('de', 'fr', 'es') THEN 'fact|' || lang ELSE 'fact' END AS tags, source AS source_id FROM documents")
 def _(spark, d):
     docs = X.read(spark, d, "documents").withColumn("q", F.col("doc_id")).withColumn("r", F.lit(0))
-    en = S.fact_cells(docs.filter("lang = 'en'"), "text", "source", "FACT", 0.9, AT)
-    de = S.fact_cells(docs.filter("lang = 'de'"), "text", "source", "de", 0.9, AT)
-    return en.unionByName(de).select(F.col("q").alias("doc_id"), F.array_join("tags", "|").alias("tags"), "source_id")
+    out = S.fact_cells(docs.filter("lang is null or lang not in ('de', 'fr', 'es')"), "text", "source", "FACT", 0.9, AT)
+    for lang in ("de", "fr", "es"):
+        out = out.unionByName(S.fact_cells(docs.filter(F.col("lang") == lang), "text", "source", lang, 0.9, AT))
+    return out.select(F.col("q").alias("doc_id"), F.array_join("tags", "|").alias("tags"), "source_id")
 
 
 @register("batch_put_commits", "SELECT doc_id // 128 + 1 AS commit_seq, count(*) AS cells FROM documents GROUP BY 1")
@@ -752,3 +767,106 @@ def _(spark, d):
         high = low + max(1, -(-last // 3))
         sync.apply(feed.filter((F.col("seq") > low) & (F.col("seq") <= high)))
     return sync.summaries().select("parent_q", "parent_r", "occupied")
+
+
+# The store ---------------------------------------------------------------------------------------------------------------
+
+# Documents come in by commits of 128 in order of their ids; a last commit puts every tenth again.
+_N = "(SELECT count(*) FROM documents)"
+_LAST = f"(({_N} + 127) // 128 + 1)"
+_PUTS = f"""puts AS (SELECT doc_id + 1 AS seq, doc_id // 128 + 1 AS commit_seq, doc_id, q, r, raw_content FROM cells
+   UNION ALL SELECT {_N} + row_number() OVER (ORDER BY doc_id), {_LAST}, doc_id, q, r, 'again ' || raw_content FROM cells WHERE doc_id % 10 = 0)"""
+
+
+@register("store_commits", O.sql("SELECT commit_seq, count(*) AS cells FROM puts GROUP BY ALL", "cells", more=_PUTS))
+def _(spark, d):
+    return X.store(spark, d).versions("cells").groupBy("commit_seq").agg(F.count("*").alias("cells"))
+
+
+@register("store_head", O.sql("SELECT q, r, raw_content FROM puts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) = 1", "cells", more=_PUTS))
+def _(spark, d):
+    return X.store(spark, d).view().select("q", "r", "raw_content")
+
+
+@register("store_at_tag", O.sql("SELECT q, r, raw_content FROM cells", "cells"))
+def _(spark, d):
+    return X.store(spark, d).view_at_tag("loaded").select("q", "r", "raw_content")
+
+
+@register("store_at_commit", O.sql("SELECT q, r, raw_content FROM cells WHERE doc_id < 256", "cells"))
+def _(spark, d):
+    return X.store(spark, d).snapshot("cells", 2).select("q", "r", "raw_content")
+
+
+@register("store_diff", O.sql(f"SELECT 'cell' AS kind, commit_seq, q, r, 'put' AS op FROM puts WHERE commit_seq > 1 AND commit_seq <= {_LAST}", "cells", more=_PUTS))
+def _(spark, d):
+    store = X.store(spark, d)
+    return store.diff(1, store.meta["head"]).select("kind", "commit_seq", "q", "r", "op")
+
+
+@register("store_changefeed", O.sql("SELECT seq, 1 AS op, q, r, CASE WHEN strlen(raw_content) <= 4096 THEN raw_content END AS payload, sha256(raw_content) AS hash, strlen(raw_content) AS encoded_len FROM puts", "cells", more=_PUTS))
+def _(spark, d):
+    return X.store(spark, d).changelog().select("seq", "op", "q", "r", "payload", "hash", "encoded_len")
+
+
+@register("store_outbox", O.sql("SELECT seq, q, r FROM puts WHERE seq > 150 ORDER BY seq LIMIT 300", "cells", more=_PUTS))
+def _(spark, d):
+    """What a consumer that stands at 150 reads next, by two bounded reads."""
+    from honeyframe.streaming.changefeed import read_since
+
+    feed = X.store(spark, d).changelog()
+    first = cut(read_since(feed, 150, 200))
+    last = first.agg(F.max("seq")).first()[0] or 150
+    return first.unionByName(read_since(feed, last, 100)).select("seq", "q", "r")
+
+
+@register("store_consumers", f"SELECT 'a' AS consumer, 100 AS seq UNION ALL SELECT 'b', {_N}")
+def _(spark, d):
+    store = X.store(spark, d)
+    feed, now = store.changelog(), dict(store.consumers())
+    for name, then in (("a", 100), ("b", store.view_at_tag("loaded").count())):
+        store.advance_consumer(name, now.get(name, 0), now.get(name, 0))
+        store.advance_consumer(name, now.get(name, 0), then)
+    assert store.retention_floor() <= feed.count()
+    return spark.createDataFrame(store.consumers(), "consumer string, seq long")
+
+
+@register("store_tags", f"SELECT 'again' AS label, {_LAST} AS commit_seq UNION ALL SELECT 'loaded', {_LAST} - 1")
+def _(spark, d):
+    return spark.createDataFrame(X.store(spark, d).list_snapshot_tags(), "label string, commit_seq long")
+
+
+@register("store_prune", O.sql(f"SELECT (SELECT count(*) FROM cells WHERE doc_id % 10 = 0) AS pruned, {_N} AS kept, {_LAST} AS oldest", "cells"))
+def _(spark, d):
+    """A copy of the store, in which as many passes as it takes leave one version of each cell."""
+    from honeyframe.plans.lineage import checkpoint_dir
+
+    other = X.store(spark, d).copy_to(f"{checkpoint_dir(spark)}/honeyframe-pruned-{X.uuid.uuid4().hex}")
+    pruned = 0
+    while n := other.prune(other.meta["head"], 2048):
+        pruned += n
+    return other.versions("cells").agg(F.lit(pruned).cast("long").alias("pruned"), F.count("*").alias("kept"), F.lit(other.oldest_snapshot_seq()).cast("long").alias("oldest"))
+
+
+@register("store_superhex_sync", O.sql(f"SELECT CAST(pq AS INT) AS parent_q, CAST(pr AS INT) AS parent_r, count(*) AS occupied, max(seq) AS last_seq FROM {O.parents('newest', 2, 'seq')} GROUP BY pq, pr", "cells", more=_PUTS + ", newest AS (SELECT * FROM puts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) = 1)"))
+def _(spark, d):
+    """Batches of the feed until nothing is left."""
+    from honeyframe.streaming.superhex import SuperhexSync
+
+    sync, feed = SuperhexSync(spark, 2), X.store(spark, d).changelog()
+    size = max(256, -(-feed.count() // 4))
+    while sync.sync(feed, size):
+        pass
+    return sync.summaries().select("parent_q", "parent_r", "occupied", "last_seq")
+
+
+@register("store_import_json", O.sql(f"SELECT q, r, raw_content, source_id, array_to_string(tags, '|') AS tags, row_number() OVER (ORDER BY {O.spiral('q', 'r', CENTER)}) // 129 + 1 AS commit_seq FROM cells WHERE {O.dist('q', 'r', *CENTER)} <= 5", "cells"))
+def _(spark, d):
+    """A disk as JSON, read back into an empty store."""
+    from honeyframe.plans.lineage import checkpoint_dir
+    from honeyframe.sources.jsonio import export_cells, import_cells
+    from honeyframe.sources.store import Store
+
+    other = Store(spark, f"{checkpoint_dir(spark)}/honeyframe-import-{X.uuid.uuid4().hex}", max_value_bytes=1 << 31)
+    other.import_cells(import_cells(export_cells(X.cells(spark, d), CENTER, 5)))
+    return other.versions("cells").select("q", "r", "raw_content", "source_id", F.array_join("tags", "|").alias("tags"), "commit_seq")

@@ -68,7 +68,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "seams": (("coords",), f"""SELECT lpad(x.doc_id::VARCHAR, 10, '0') AS id, x.doc_id, a.q AS a_q, a.r AS a_r, a.key AS a_key, b.q AS b_q, b.r AS b_r, b.key AS b_key, 'supersedes' AS seam_type,
         CASE WHEN x.doc_id % 2 = 0 THEN 'resolved' ELSE '' END AS resolution_status, {_FROM.replace('doc_id', 'x.doc_id')} AS valid_from, {_TO.replace('doc_id', 'x.doc_id')} AS valid_to, 'scan-' || (x.doc_id % 4) AS source_id, x.doc_id + 1 AS commit_seq
       FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS older FROM documents) x JOIN coords a ON a.doc_id = x.older JOIN coords b ON b.doc_id = x.doc_id"""),
-    "facets": (("placed",), """SELECT q, r, key, doc_id, f AS facet_id, CASE WHEN f = 1 THEN substring(text, 1, 80) ELSE lang END AS derived_content, sha256(text) AS derivation_hash
+    "facets": (("placed",), """SELECT q, r, key, doc_id, f AS facet_id, CASE WHEN f = 1 THEN text ELSE lang END AS derived_content, sha256(text) AS derivation_hash
       FROM placed, (VALUES (1), (4)) t(f) WHERE f = 1 OR doc_id % 2 = 0"""),
     "vectors": ((), f"SELECT *, {key('q', 'r')} AS key FROM ({inverse('embeddings', 'vec_id', 'vec_id, embedding, label')})"),
     "changelog": (("versions",), "SELECT commit_seq AS seq, wall_ns, CASE WHEN deleted THEN 6 ELSE 1 END AS op, q, r, key, CASE WHEN NOT deleted THEN raw_content END AS payload, CASE WHEN NOT deleted THEN sha256(raw_content) END AS hash, CASE WHEN deleted THEN 0 ELSE strlen(raw_content) END AS encoded_len FROM versions"),

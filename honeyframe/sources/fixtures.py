@@ -113,7 +113,7 @@ def seams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = at_spiral(read(spark, sf_dir, "documents"), F.col("doc_id"))
     ids = F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1), F.lit(4))).otherwise(F.array(F.lit(1))))
-    derived = F.when(F.col("facet_id") == 1, F.substring("text", 1, 80)).otherwise(F.col("lang"))
+    derived = F.when(F.col("facet_id") == 1, F.col("text")).otherwise(F.col("lang"))
     return docs.withColumn("facet_id", ids).select("q", "r", "key", "facet_id", (F.col("doc_id") + 1).alias("commit_seq"), F.lit(False).alias("deleted"), derived.alias("derived_content"), F.lit(BASE_NS).alias("last_rotated"), F.sha2(F.col("text").cast("binary"), 256).alias("derivation_hash"))
 
 
@@ -138,3 +138,21 @@ def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("deleted"), 6).otherwise(1)
     payload = F.when(~F.col("deleted"), F.col("raw_content"))
     return v.select(F.col("commit_seq").alias("seq"), "wall_ns", op.alias("op"), "q", "r", "key", payload.alias("payload"), F.when(~F.col("deleted"), F.sha2(F.col("raw_content").cast("binary"), 256)).alias("hash"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("encoded_len"))
+
+
+def store(spark: SparkSession, sf_dir: str):
+    """A store of the documents, made once per session: imported in order of their ids in commits of 128, every tenth put again in one bulk commit."""
+    from honeyframe.sources.store import Store
+
+    at = (spark.sparkContext.applicationId, sf_dir, "store")
+    if at not in _stored:
+        path = f"{checkpoint_dir(spark)}/honeyframe-store-{uuid.uuid4().hex}"
+        made = Store(spark, path, max_value_bytes=1 << 31)
+        made.import_cells(cells(spark, sf_dir), ("doc_id",))
+        made.tag_snapshot("loaded")
+        with made.update() as tx:
+            again = cells(spark, sf_dir).filter("doc_id % 10 = 0").withColumn("raw_content", F.concat(F.lit("again "), "raw_content"))
+            tx.put_cells(again.orderBy("doc_id"))
+        made.tag_snapshot("again")
+        _stored[at] = path
+    return Store(spark, _stored[at], create=False)

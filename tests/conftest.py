@@ -34,18 +34,29 @@ def duck(sf):
     return con
 
 
+def plain(x):
+    """A value in a form that both engines share; whole numbers stay exact."""
+    import decimal
+
+    if x is None or type(x).__name__ in ("NAType", "NaTType") or isinstance(x, float) and x != x:
+        return None
+    if isinstance(x, bool) or type(x).__name__ in ("bool_", "bool"):
+        return bool(x)
+    if isinstance(x, str):
+        return x
+    if isinstance(x, decimal.Decimal) and x == x.to_integral_value() or not hasattr(x, "is_integer") and hasattr(x, "__index__"):
+        return int(x)
+    if hasattr(x, "__index__"):
+        return int(x)
+    number = round(float(x), 9)
+    return int(number) if number.is_integer() and abs(number) < 1 << 53 else number
+
+
+def listed(frame):
+    """Rows of a pandas frame, as they come."""
+    return [tuple(plain(v) for v in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False)]
+
+
 def rows_of(frame):
-    """Rows of a pandas frame in an order and form that both engines share."""
-    import pandas as pd
-
-    def plain(x):
-        if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and x != x:
-            return None
-        if isinstance(x, bool) or type(x).__name__ == "bool_":
-            return bool(x)
-        if isinstance(x, str):
-            return x
-        return round(float(x), 9)
-
-    columns = sorted(frame.columns)
-    return sorted((tuple(plain(v) for v in row) for row in frame[columns].astype(object).itertuples(index=False)), key=repr)
+    """Rows of a pandas frame in an order that both engines share."""
+    return sorted(listed(frame), key=repr)
