@@ -148,6 +148,8 @@ def _walked(snap: DataFrame, cfg: ContextConfig, edges: DataFrame, chains: DataF
     parts = None
     for i, s in enumerate(cfg.seeds):
         reached = graph.walk(edges, s, cfg.edge_filter or "", cfg.max_hops, 0)
+        if reached.limit(MAX_WORK + 1).count() > MAX_WORK:
+            raise ScanLimit("a walk holds too many coordinates")
         place = F.row_number().over(Window.orderBy("level", "path"))  # a walk is bounded by hops and work
         part = reached.withColumn("place", place.cast("long")).select(F.lit(i).alias("seed_idx"), "place", F.col("q").alias("from_q"), F.col("r").alias("from_r"), "key")
         parts = part if parts is None else parts.unionByName(part)

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's folder for checkpoints, which driver and executors share; one is set here only where it is unset."""
+    """The session's folder for checkpoints, which driver and executors share.
+
+    Where it is unset a folder of this machine is set, but only if the session runs on this machine alone.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "honeyframe")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

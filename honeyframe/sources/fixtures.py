@@ -6,6 +6,7 @@ share; nothing here is needed to use the operators on tables of your own.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,15 @@ BLOCKERS = (73856093, 19349663, 17)
 _stored: dict[tuple[str, str, str], str] = {}
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what was stored for a session, if the session is still there."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may have gone before the interpreter ends
+        pass
+
+
 def stored(build):
     """A relation written once per session and folder of tables, as a store would hold it: with its coordinates as columns, so that filters on them reach the scan."""
 
@@ -33,6 +43,7 @@ def stored(build):
             rows = build(spark, sf_dir)
             if "key" in rows.columns:
                 rows = rows.sortWithinPartitions("key")
+            atexit.register(drop, spark, path)
             rows.write.parquet(path)
             _stored[at] = path
         return spark.read.parquet(_stored[at])
@@ -147,6 +158,7 @@ def store(spark: SparkSession, sf_dir: str):
     at = (spark.sparkContext.applicationId, sf_dir, "store")
     if at not in _stored:
         path = f"{checkpoint_dir(spark)}/honeyframe-store-{uuid.uuid4().hex}"
+        atexit.register(drop, spark, path)
         made = Store(spark, path, max_value_bytes=1 << 31)
         made.import_cells(cells(spark, sf_dir), ("doc_id",))
         made.tag_snapshot("loaded")

@@ -1,8 +1,9 @@
 """Occupancy of super-hexagons kept up to date from the changefeed.
 
-State is one row per coordinate that holds a cell: a put that finds it only moves its sequence, a deletion of an unknown
-one does nothing, and applying a batch twice changes nothing. Each batch writes the state's next version to the shared
-folder, and the last one is then what counts: a batch that fails is applied again.
+State is the last record of each coordinate, of which puts count as cells: a put that finds a cell only moves its
+sequence, a deletion of an unknown one does nothing, and applying a batch twice changes nothing. Each batch writes its own
+last records to the shared folder, no more than it has; when ``DELTAS`` batches have come they are merged with what was
+before, so that the whole state is rewritten once in so many batches. A batch that fails is applied again.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from honeyframe.functions.geometry import Coord, pack_one, superhex_center, supe
 from honeyframe.plans.lineage import cut
 
 PUT, DELETE = 1, 6
+#: Batches after which the state is merged.
+DELTAS = 32
 
 
 class SuperhexSync:
@@ -22,21 +25,32 @@ class SuperhexSync:
         if level < 1 or 7**level >= 1 << 63:
             raise InvalidArgument("the level is out of bounds")
         self.level, self.last_seq = level, 0
-        self.state = spark.createDataFrame([], "key long, q int, r int, seq long")
+        self.merged, self.deltas = spark.createDataFrame([], "key long, op int, q int, r int, seq long"), []
+
+    def _last(self) -> DataFrame:
+        rows = self.merged
+        for x in self.deltas:
+            rows = rows.unionByName(x)
+        return rows.groupBy("key").agg(F.max_by(F.struct("op", "q", "r", "seq"), "seq").alias("m")).select("key", "m.*")
+
+    @property
+    def state(self) -> DataFrame:
+        """key, q, r and seq of every coordinate that holds a cell."""
+        return self._last().filter(F.col("op") == PUT).select("key", "q", "r", "seq")
 
     def apply(self, records: DataFrame, batch_id: int | None = None) -> None:
         """Records of the feed (seq, op, key, q, r), in any order; ready for foreachBatch."""
         new = records.filter((F.col("seq") > self.last_seq) & F.col("op").isin(PUT, DELETE))
         last = new.groupBy("key").agg(F.max_by(F.struct("op", "q", "r", "seq"), "seq").alias("m")).select("key", "m.*")
-        joined = self.state.select("key", F.struct("q", "r", "seq").alias("old")).join(last.select("key", "op", F.struct("q", "r", "seq").alias("new")), "key", "full")
-        kept = joined.filter("op is null or op = 1").select("key", F.coalesce("new", "old").alias("s")).select("key", "s.*")
         high = records.agg(F.max("seq")).first()[0]
-        self.state = cut(kept)
+        self.deltas.append(cut(last.select("key", F.col("op").cast("int").alias("op"), "q", "r", "seq")))
+        if len(self.deltas) >= DELTAS:
+            self.merged, self.deltas = cut(self._last()), []
         self.last_seq = max(self.last_seq, high or 0)
 
     def sync(self, feed: DataFrame, limit: int = 256) -> int:
         """Apply at most ``limit`` next records; how many there were."""
-        batch = feed.filter(F.col("seq") > self.last_seq).orderBy("seq").limit(limit)
+        batch = cut(feed.filter(F.col("seq") > self.last_seq).orderBy("seq").limit(limit))
         n = batch.count()
         if n:
             self.apply(batch)

@@ -157,3 +157,82 @@ def test_placement(spark):
     with pytest.raises(E.NoFreePlacement):
         placement.find_free(taken, (0, 0), 0)
     assert placement.place_many([("a", (0, 0)), ("b", (0, 0)), ("c", (1, 0))], set(), 3) == [("a", (0, 0)), ("b", (1, 0)), ("c", (2, 0))]
+
+
+def test_goal_directed_paths_against_dijkstra(spark):
+    """Costs to everything, and to one goal with and without a lower bound of the rest, on a random graph with parallel edges."""
+    import heapq
+
+    from honeyframe.functions.scalars import hex_heuristic
+
+    rng = random.Random(9)
+    at = [(rng.randint(-6, 6), rng.randint(-6, 6)) for _ in range(40)]
+    dist = lambda a, b: (abs(a[0] - b[0]) + abs(a[1] - b[1]) + abs(a[0] - b[0] + a[1] - b[1])) // 2
+    links = [(a, b, "r", float(max(dist(a, b), 1) + rng.randint(0, 3))) for a in at for b in rng.sample(at, 4) if a != b]
+    edges = spark.createDataFrame([(*a, pack_one(*a), *b, pack_one(*b), r, w) for a, b, r, w in links], "from_q int, from_r int, from_key long, to_q int, to_r int, to_key long, relation string, weight double")
+    best, queue = {}, [(0.0, at[0])]
+    while queue:
+        cost, x = heapq.heappop(queue)
+        if x not in best:
+            best[x] = cost
+            for a, b, _, w in links:
+                if a == x:
+                    heapq.heappush(queue, (cost + w, b))
+    got = {(x.q, x.r): x.cost for x in graph.shortest_paths(edges, at[0]).collect()}
+    assert got == best
+    for goal in (at[5], at[20]):
+        for h in (None, hex_heuristic):
+            path = graph.find_path(edges, at[0], goal, heuristic=h)
+            if goal in best:
+                cost = sum(min(w for a, b, _, w in links if (a, b) == step) for step in zip(path, path[1:], strict=False))
+                assert path[0] == at[0] and path[-1] == goal and cost == best[goal]
+            else:
+                assert path is None
+    assert graph.find_path(edges, at[0], (60, 60)) is None
+
+
+def test_listings_and_their_budget(spark):
+    snap = cells(spark, [(i, 0, "x", "s", 1.0, None, ["b", "a" * (i % 2 + 1)]) for i in range(10)])
+    assert query.list_cells(snap, 3).count() == 3 and query.list_cells(snap, 0).count() == 0
+    assert query.list_cells(snap, 10, 10).count() == 10 and query.list_cells(snap, 4, 4).count() == 4
+    with pytest.raises(E.ScanLimit) as error:
+        query.list_cells(snap, 9, 5)
+    assert error.value.partial.count() == 5
+    assert [x.tag for x in query.topics(snap).collect()] == ["a", "aa", "b"] and [x.tag for x in query.distinct_tags(snap).collect()] == ["a", "b", "aa"]
+
+
+def test_seam_budgets(spark):
+    rows = spark.createDataFrame([(f"{i}", 0, 0, 0, i, 0, i, "", None, None) for i in range(6)], "id string, a_q int, a_r int, a_key long, b_q int, b_r int, b_key long, resolution_status string, valid_from long, valid_to long")
+    assert seams.find_seams(rows, (0, 0), 1, most=6, most_rows=6).count() == 6
+    for bounds in ({"most": 5}, {"most_rows": 5}):
+        with pytest.raises(E.ScanLimit):
+            seams.find_seams(rows, (0, 0), 1, **bounds)
+    new = seams.mark_supersedes(rows, "id", "newer", 7).filter("id = '3'").first()
+    assert (new.seam_type, new.a_q, new.b_q, new.reason, new.detected_at) == ("supersedes", 0, 3, "newer", 7)
+
+
+def test_vectors_by_a_callers_function(spark):
+    snap = cells(spark, [(i, 0, "x" * i, "s", 1.0, None, []) for i in range(5)])
+    made = vector.reindex(snap, lambda texts: [[float(len(t)), 1.0] if t else None for t in texts])
+    assert sorted((x.q, list(x.embedding)) for x in made.collect()) == [(i, [float(i), 1.0]) for i in range(1, 5)]
+    assert vector.default_effort(10, 64) == 100 and vector.default_effort(100, 64) == 200 and vector.default_effort(1, 4096) == 400
+    for count, most in ((11, 10), (1, 0), (1, 20_001)):
+        with pytest.raises(E.InvalidArgument):
+            vector.check_rebuild(count, most)
+    index = vector.build_index(made, 3)
+    assert vector.publish_index(index, 3).revision == 3
+    with pytest.raises(E.IndexChanged):
+        vector.publish_index(index, 4)
+
+
+def test_prompts_views_and_heuristics(spark):
+    from honeyframe.functions import scalars
+    from honeyframe.operators import context, spatial
+
+    snap = cells(spark, [(0, 0, "one two three", "s", 0.9, None, []), (1, 0, "four five six seven", "s", 0.8, None, []), (2, 0, "eight", "s", 0.7, None, [])])
+    assert [x.q for x in context.fit_prompt(snap, 4)] == [0, 2] and context.fit_prompt(snap, 0) == []
+    assert context.filter_views(snap).count() == 3 and context.filter_views(snap, F.col("confidence") > 0.75).count() == 2
+    row = spark.range(1).select(scalars.hex_heuristic(F.lit(0), F.lit(0), F.lit(2), F.lit(-1)).alias("hex"), scalars.euclidean_heuristic(F.lit(0), F.lit(0), F.lit(2), F.lit(-1)).alias("straight"), scalars.uniform_cost().alias("one")).first()
+    assert (row.hex, row.one) == (2.0, 1.0) and row.straight == pytest.approx(math.sqrt(3))
+    drawn = spatial.render_occupied(snap, (0, 0), 2)
+    assert drawn.count("*") == 3 and drawn.count(".") == 16
