@@ -23,6 +23,8 @@ from honeyframe.llm.common import materialise
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDER, TRUST = 4, 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters that are taken apart at once.
+STRETCH = 256
 #: Stand before a URL's first character and after its last.
 _START, _END = "\x02", "\x03"
 
@@ -46,10 +48,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _grams(urls: DataFrame, keep: list[str]) -> DataFrame:
-    """Each character of a URL, and its end, with the ``ORDER`` characters before it."""
+    """Each character of a URL, and its end, with the ``ORDER`` characters before it.
+
+    A URL is taken apart in stretches first, as a place in a text is found by counting from the text's beginning.
+    """
     padded = F.concat(F.lit(_START * ORDER), F.col("s"), F.lit(_END))
-    at = F.sequence(F.lit(1), F.length("s") + 1)
-    return urls.select(*keep, F.explode(F.transform(at, lambda i: F.substr(padded, i, F.lit(ORDER + 1)))).alias("gram"))
+    first = F.sequence(F.lit(1), F.length("s") + 1, F.lit(STRETCH))
+    pieces = urls.select(*keep, F.explode(F.transform(first, lambda i: F.substr(padded, i, F.lit(STRETCH + ORDER)))).alias("piece"))
+    at = F.sequence(F.lit(1), F.length("piece") - ORDER)
+    return pieces.select(*keep, F.explode(F.transform(at, lambda i: F.substr("piece", i, F.lit(ORDER + 1)))).alias("gram"))
 
 
 def _suffixes(grams: DataFrame, keep: list[str]) -> DataFrame:
@@ -78,8 +85,8 @@ def log_ratios(trained: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def score_urls(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Of distinct rows with s: the score in thousandths of a log unit per character, rounded down."""
-    keys = urls.columns
+    """Of rows with s that their other columns tell apart: those, and the score in thousandths of a log unit per character, rounded down."""
+    keys = [c for c in urls.columns if c != "s"]
     total = _grams(urls, keys).join(ratios, "gram").groupBy(*keys).agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
     return total.select(*keys, F.floor(F.col("sum") / (1000.0 * F.col("n"))).cast("long").alias("score"))
 
@@ -115,17 +122,18 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     host, path = parse("s")
     urls = rows.select("s").distinct().select("s", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    urls = materialise(urls.select("s", "host", "path", rule.alias("rule"), says.alias("says")), "urls")
-    labelled = urls.filter("says is not null").select("s", (F.col("says") == "allow").cast("long").alias("good"))
+    # Written with a number for each, so that only numbers go along with what is counted.
+    urls = materialise(urls.select(F.monotonically_increasing_id().alias("u"), "s", "host", "path", rule.alias("rule"), says.alias("says")), "urls")
+    labelled = urls.filter("says is not null").select("u", "s", (F.col("says") == "allow").cast("long").alias("good"))
     unseen = F.pmod(F.crc32(F.col("s").cast("binary")), F.lit(5)) == 0
-    free = urls.filter("says is null").select("s", F.lit(None).cast("long").alias("good"))
+    free = urls.filter("says is null").select("u", "s", F.lit(None).cast("long").alias("good"))
     wanted = free.unionByName(labelled.filter(unseen))
     ratios = log_ratios(labelled.filter(~unseen), wanted)
     scored = materialise(score_urls(wanted, ratios), "scored")
     cut = calibrate(scored.filter("good is not null"))
     judged = scored.filter("good is null").crossJoin(F.broadcast(cut))  # one row
-    judged = judged.select("s", "score", F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block").alias("found"))
-    every = materialise(urls.join(judged, "s", "left").select("s", "host", "path", "rule", F.coalesce("says", "found").alias("verdict"), "score"), "judged")
+    judged = judged.select("u", "score", F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block").alias("found"))
+    every = materialise(urls.join(judged, "u", "left").select("s", "host", "path", "rule", F.coalesce("says", "found").alias("verdict"), "score"), "judged")
     return rows.join(every, "s").select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "score")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -76,6 +77,8 @@ def test_dac_round_trip(spark, docs, none, tokenizer):
     ids = np.concatenate([rng.integers(0, 256, 700), rng.integers(0, 1 << 24, 700), [0, 255, 256, 65535, 65536, 2**32 - 1]]).astype("<u4")
     segment = dac.Segment(dac.build(ids, [4, None], np.array([1000, len(ids) - 1000])))
     assert (segment.ids() == ids).all() and [segment[i] for i in range(len(ids))] == ids.tolist() and segment.doc_ids == [4, None]
+    some = rng.integers(0, len(ids), 500)
+    assert segment.take(some).tolist() == ids[some].tolist() and segment.take(np.arange(len(ids))).tolist() == ids.tolist()
     assert segment.document(1).tolist() == ids[1000:].tolist() and dac.Segment(dac.build(ids[:0], [1], np.array([0]))).ids().tolist() == []
     with pytest.raises(IndexError):
         segment[len(ids)]
@@ -89,6 +92,14 @@ def test_dac_round_trip(spark, docs, none, tokenizer):
         own = [*want[source.text], 0]
         assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (source.doc_id, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
         start += len(own)
+    flat = [i for source in order for i in (*want[source.text], 0)]
+    for at in (0, 1, 49, 50, 51, len(flat) // 2, len(flat) - 1):
+        assert dac.token_at(spark, path, at) == flat[at]
+    with pytest.raises(IndexError):
+        dac.token_at(spark, path, len(flat))
+    for wanted in (None, 3, 8, 99):
+        found = [x.ids for x in sorted(dac.documents(spark, path, wanted).collect())]
+        assert found == [[*want[x.text], 0] for x in order if x.doc_id == wanted]
     empty = common.scratch(spark, "test-dac")
     dac.write_dataset(none, empty)
     assert dac.read_directory(spark, empty).count() == 0
@@ -108,6 +119,22 @@ def test_packing(spark, docs, none, tokenizer):
     total = sum(len(i) + 1 for i in library_ids(tokenizer, [r.text for r in docs.select("text").collect()]))
     assert sum(x.length for x in got) == total and len(bins) == -(-total // 1024)
     assert packing.pack_documents(none).count() == 0
+    want = []
+    for row, ids in zip(source := docs.select("doc_id", "text").collect(), library_ids(tokenizer, [r.text for r in source]), strict=True):
+        ids = [*ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        want += [(row.doc_id, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted(((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got), key=repr) == sorted(want, key=repr)
+
+
+def test_packing_of_rows_without_ids(spark):
+    """Pieces that are alike in all columns are dealt over all partitions, none of which grows past its share."""
+    pieces = spark.range(6000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "301 + id % 7 as length", "0L as ids_crc32")
+    got = packing.pack(pieces, 1024, 500).toPandas()
+    by = got.groupby("sequence_id")
+    assert len(got) == 6000 and (by.length.sum() <= 1024).all() and 2000 <= by.ngroups <= 2012  # one bin more in each partition at most
+    for _, own in by:
+        assert sorted(own.offset) == [0, *np.cumsum(own.sort_values("offset").length)[:-1]]
 
 
 def test_repacking_reaches_the_bound(spark):
@@ -195,6 +222,35 @@ def test_quality_judges(spark, docs, none):
     assert quality.keep(docs, None).schema == docs.schema
 
 
+def test_forest_by_walking_its_trees(spark, sf):
+    """Scores, verdicts and the threshold against a plain walk of each tree; rows that pass the base rules by brute force."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest = quality.fit(docs, labels)
+    text = {x.doc_id: x.text for x in docs.collect()}
+    judged = quality.judge(docs, forest).collect()
+    usual_length = 2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256
+    for x in judged[::5]:
+        found = quality.features(np.array([quality.statistics((text[x.doc_id] or "").encode())]), forest.usual)[0]
+        lengths = []
+        for feature, value, child, length in zip(forest.feature, forest.value, forest.child, forest.length, strict=True):
+            at = 0
+            while feature[at] >= 0:
+                at = child[at] + (0 if found[feature[at]] < value[at] else 1)
+            lengths.append(length[at])
+        score = 2 ** -(sum(lengths) / len(lengths) / usual_length)
+        failed = x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words
+        assert x.score == pytest.approx(score) and x.base_failed == failed and x.kept == (not failed and score <= forest.threshold)
+    bad = {x.doc_id for x in labels.filter("quality = 0").collect()}
+    good = {x.doc_id for x in labels.filter("quality = 1").collect()}
+    assert not any(x.kept for x in judged if x.doc_id in bad) and sum(not x.kept and not x.base_failed for x in judged if x.doc_id in good) <= 1
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i} " * 60) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)] * 4, "doc_id long, quality int")
+    assert quality.fit(docs, labels) is None  # three labelled rows, however often they occur
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(4)
     item = [rng.choice("abcdefghij") * 3 for _ in range(25)]
@@ -206,6 +262,9 @@ def test_decontamination(spark, docs, none):
         got = {x.doc_id: x for x in decontaminate.find_contamination(table, benchmark, automaton_chars=chars).collect()}
         assert {i: (x.n_words, x.n_hit, x["items"]) for i, x in got.items()} == want
         assert sorted(x.doc_id for x in decontaminate.drop_contaminated(table, benchmark, automaton_chars=chars).collect()) == [1, 3, 4]
+    nameless = spark.createDataFrame([(None, "Short, ITEM!"), (7, "x y")], "item_id long, text string")
+    got_null = {x.doc_id: x for x in decontaminate.find_contamination(table, nameless).collect()}
+    assert (got_null[2].n_hit, got_null[2]["items"]) == (2, []) and got_null[0].n_hit == 0
     text = rows[0][1]
     (a, b), = decontaminate.original_spans(text, [(h.first, h.last) for h in got[0].hits])
     assert text[a:b] == ", ".join(item[3:14]).upper()
@@ -278,6 +337,44 @@ def test_language_model_over_many_buckets(spark):
         assert abs(x.score - y.score) < (0.02 * abs(x.score) if x.n_tokens > 100 else 0.5) and (x.score > x.base_score or x.n_tokens < 100)
 
 
+def test_viterbi_and_marginals_by_enumeration():
+    """The decoded labelling is the best of all, on pages of few blocks under random weights."""
+    rng = np.random.default_rng(8)
+    blocks = [html_text.Block(("body", tag), text, 0) for tag in ("p", "div", "li") for text in ("Short", "A longer sentence that ends.", "© us")]
+    names = {f: i for i, f in enumerate(sorted({f for b in blocks for f in html_text.features(b)}))}
+    for _ in range(40):
+        field = html_text.Field(names)
+        field.state, field.step, field.first = rng.normal(size=(len(names), 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+        field.settle()
+        page = [blocks[i] for i in rng.integers(0, len(blocks), rng.integers(1, 8))]
+        s = field.scores(page)
+
+        def total(labels, s=s, field=field):
+            return field.first[labels[0]] + sum(s[i, y] for i, y in enumerate(labels)) + sum(field.step[a, b] for a, b in zip(labels, labels[1:], strict=False))
+
+        best = max(itertools.product((0, 1), repeat=len(page)), key=total)
+        assert [int(x) for x in field.label(page)] == list(best)
+
+
+def test_simhash_of_odd_rows(spark, docs):
+    """Nulls, empty and very long texts, ties, an id twice and columns of any names: each row gets the fingerprint and component of brute force."""
+    got = simhash.near_duplicates(docs).select("doc_id", simhash.hex_digits("fp").alias("fp"), "component_id").collect()
+    rows = docs.select("doc_id", "text").collect()
+
+    def bits(text):
+        w = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    want, label = [bits(x.text) for x in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (want[i] ^ want[j]).bit_count() <= 3:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = [min((x.doc_id for x, k in zip(rows, label, strict=True) if k == own and x.doc_id is not None), default=None) for own in label]
+    assert sorted(((x.doc_id, x.fp, x.component_id) for x in got), key=repr) == sorted(((x.doc_id, f"{w:016x}", c) for x, w, c in zip(rows, want, least, strict=True)), key=repr)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/a?q#f", "https://example.com/en/x", "https://example.com/en", "http://a.net/es/1", "http://xnet/es/1", "http://b.com", "http://b.com?x=/", "a://b://c/d", "https://s.example.org/en/1"]
     table = spark.createDataFrame([*enumerate(urls), (3, urls[3])], "page_id long, url string").selectExpr("*", "1 as host", "2 as score")
@@ -286,6 +383,10 @@ def test_url_rules(spark):
     assert [got[i].rule for i in (3, 4, 5, 6, 7, 8, 11)] == ["www.example.com/en/", "example.com/en/", "com/", "net/es/", None, None, None]
     assert all(x.verdict in ("allow", "block") for x in got.values()) and url_filter.judge(table).count() == len(urls) + 1
     assert url_filter.judge(table.limit(0)).count() == 0
+    long = "http://long.example/" + "segment/" * 20_000
+    odd = spark.createDataFrame([(1, long, 0), (None, long, 1), (2, "http://x.com/", 2), (3, "http://x.net/es/", 3), (2, None, 4)], "page_id long, url string, gram int")
+    found = url_filter.judge(odd).collect()
+    assert len(found) == 5 and sum(x.path == "/" + "segment/" * 20_000 and x.rule is None and x.verdict in ("allow", "block") for x in found) == 2
 
 
 def test_html(spark):
@@ -296,21 +397,39 @@ def test_html(spark):
     assert right / sum(map(len, pages)) >= 0.97
     page = '<html><head><title>t</title><script>var a="</p><p>x";</script></head><body><nav><a href="/">Home</a></nav><!-- <p>no</p> --><article><h1>Title &amp; more</h1><p>First\n  para&shy;graph.<p>Second <b>one</b><br>on.</article><div class="comments"><p>Nice!</p></div><footer>&copy; us</footer>'
     assert html_text.main_text(field, page) == "Title & more\n\nFirst para\xadgraph.\n\nSecond one on."
+    odd = '<article><p>A sum of <math><mi>x</mi></math> things.</p><p>One <svg/>two <svg><text>no</text></svg>three <button>no</button>four.</p><title-card>Five words of a card.</title-card><p>Six <select>is read.</p></article>'
+    assert html_text.main_text(field, odd) == "A sum of x things.\n\nOne two three four.\n\nFive words of a card.\n\nSix is read."
+    bare = "<body><p>" + "<p>".join(f"The {w} of the paragraph is a plain sentence. It has two." for w in ("first", "second", "third"))
+    assert html_text.main_text(field, bare).count("plain sentence") == 3
+    long = "<article>" + "".join(f"<p>Sentence {i} of a very long page.</p>" for i in range(20_000)) + "</article>"
+    assert html_text.main_text(field, long).count("\n\n") == 19_999
     table = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p"), (1, "u", page)], "page_id long, url string, html string").selectExpr("*", "'x' as text")
     got = html_text.extract(table).collect()
     assert len(got) == 5 and all(x.n_chars == len(x.text) for x in got) and html_text.extract(table.limit(0)).count() == 0
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, None, "?"), (2, 0, "system", "alone"), (None, 0, "ann", "x")]
-    got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as head")).collect()
-    assert len(got) == 4 * 3 + 1
-    own = {(x.perspective, x.turn): x for x in got if x.conv_id == 1}
-    x = own["ann", 1]
-    assert x.segment == "<|assistant|>\nhi < |end|><|end|>\n" and x.segment[x.mask_start : x.mask_end] == "hi < |end|><|end|>"
-    assert own["bob", 1].segment == "<|user name=ann|>\nhi < |end|><|end|>\n" and own["bob", 1].mask_end == 0 and own["unknown", 0].chat_role == "system"
-    texts = chat_format.join_segments(spark.createDataFrame(got))
-    assert texts.filter("perspective = 'bob' and conv_id = 1").first().text.startswith("<|system|>\nbe kind<|end|>\n<|user name=ann|>")
+    """Ties, repeated rows, nulls, names that would end a header and a long text, in all perspectives, against plain string building."""
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, None, "?"), (1, 3, "bob", "tie"), (1, 2, "bob", None), (1, None, "ann", "first"), (2, 0, "system", "alone"), (None, 0, "a|>\nb", "x"), (None, 1, "c", LONG)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as head", "2 as size", "3 as stretch")
+    got = chat_format.rotate(table)
+    whole = {(x.conv_id, x.perspective): x for x in chat_format.render(got).collect()}
+    assert whole.keys() == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "a|>\nb"), (None, "c")} and got.count() == 3 * 7 + 2 * 2
+
+    def build(conv, person):
+        turns = sorted(((t is not None, t or 0, r or "unknown", (x or "").replace("<|", "< |")) for c, t, r, x in rows if c == conv))
+        text, masks = "", []
+        for _, _, who, said in turns:
+            text += "<|system|>\n" if who == "system" else "<|assistant|>\n" if who == person else f"<|user name={who.replace('|', '_').replace('>', '_').replace(chr(10), '_')}|>\n"
+            if who == person:
+                masks.append((len(text), len(text + said + "<|end|>")))
+            text += said + "<|end|>\n"
+        return text, masks
+
+    for (conv, person), x in whole.items():
+        assert (x.text, [tuple(m) for m in x.masks]) == build(conv, person)
+        assert [x.text[a:b] for a, b in x.masks] == [f"{(t or '').replace('<|', '< |')}<|end|>" for t in [x.text[a : b - 7] for a, b in x.masks]]
+    assert chat_format.rotate(table.limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark, sf):
@@ -333,6 +452,31 @@ def test_pipeline_stages(spark, sf):
     assert {x.doc_id for x in P.packed(spark, third, sf).select("doc_id").distinct().collect()} == {x.doc_id for x in third.collect()}
 
 
+def test_pipeline_of_odd_rows(spark):
+    """Every stage on nulls in all columns, empty and long texts, repeated rows, an id twice, and columns named like those that stages make; and on no rows."""
+    import corpus_pipeline as P
+
+    words = lambda seed: " ".join(f"{random.Random(seed + i).randrange(10**9):x}." for i in range(80))
+    rows = [(1, words(0), 1, "a"), (1, words(0), 1, "a"), (1, words(1000), 2, None), (None, words(2000), None, None), (None, words(0), 3, "b"), (2, None, None, None), (3, "", 4, "c"), (4, words(0), 5, "d"), (5, words(3000) + " " + LONG, 6, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, nd_node int, row string")
+    benchmark = common.scratch(spark, "odd")
+    spark.createDataFrame([(None, " ".join(words(2000).split()[5:30]))], "item_id long, text string").write.parquet(f"{benchmark}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{benchmark}/labels.parquet")
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for name, stage in P.STAGES:
+            now = stage(spark, now, benchmark)
+            if name != "best-fit packing":
+                assert now.columns == docs.columns
+                now = common.materialise(now, "odd-stage")
+            if frame is docs and name == "near-duplicate removal":
+                found = sorted(((x.doc_id, x.text[:20]) for x in now.collect()), key=repr)
+                assert found == sorted([(1, words(0)[:20]), (1, words(1000)[:20]), (None, words(2000)[:20]), (None, words(0)[:20])], key=repr)
+            if frame is docs and name == "benchmark decontamination":
+                assert sorted(repr(x.doc_id) for x in now.collect()) == ["1", "1", "None"]
+        assert now.count() == (0 if frame is not docs else 3)
+
+
 def test_dedup_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline as P
 
@@ -389,7 +533,7 @@ def test_near_duplicates_of_a_large_group(spark):
                 label = [min(x, y) if z in (x, y) else z for z in label]
     from honeyframe.llm import jaccard
 
-    found = {x.doc_id: x.nd_least for x in jaccard.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5).collect()}
+    found = {x.row.doc_id: x.nd_least for x in jaccard.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5).collect()}
     assert [found[i] for i in range(150)] == label
 
 
