@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from honeyframe.errors import DerivationMismatch, InvalidArgument
@@ -10,6 +10,13 @@ from honeyframe.functions.geometry import Coord, pack_one
 from honeyframe.functions.scalars import content_hash
 
 
+def derived(cells: DataFrame, facet_id: int, content: Column, rotated_ns: int) -> DataFrame:
+    """Facets of cells with content derived from theirs, and the hash of what it was derived from."""
+    if not 0 <= facet_id <= 5:
+        raise InvalidArgument("a facet has a number from 0 to 5")
+    return cells.select("q", "r", "key", F.lit(facet_id).alias("facet_id"), content.alias("derived_content"), F.lit(rotated_ns).cast("long").alias("last_rotated"), content_hash().alias("derivation_hash"))
+
+
 def get_facet(facets: DataFrame, at: Coord, facet_id: int) -> DataFrame:
     if not 0 <= facet_id <= 5:
         raise InvalidArgument("a facet has a number from 0 to 5")

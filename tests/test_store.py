@@ -229,3 +229,22 @@ def test_vectors_of_a_store(spark, store):
     assert how["path"] == "flat" and [x.q for x in found.collect()] == [50, 38]
     store.rebuild_embedding_index()
     assert store.index_state() == {"revision": 2, "indexed": 2, "dirty": False}
+
+
+def test_listings(store):
+    from honeyframe.operators import facets, listing
+
+    with store.update() as tx:
+        tx.put_cell(0, 0, "first note", tags=("a",), source_id="s")
+        tx.put_cell(1, 0, "second note", tags=("b",), confidence=0.126)
+        tx.link_cells((0, 0), (1, 0), "next")
+        tx.put(b"app/\x01", b"v")
+    names = [x.name for x in listing.identities(store).collect()]
+    assert names == ["app/.", "cell/0/0", "cell/1/0", "edge/0/0/1/0/next"]
+    assert [x.name for x in listing.identities(store, "cell/1").collect()] == ["cell/1/0"] and listing.identities(store, most=2).count() == 2
+    assert [(x.q, x.confidence) for x in listing.cells(store, tag="b").collect()] == [(1, 0.13)]
+    assert listing.cells(store, "note", most=0).count() == 2 and listing.cells(store, source="s").first().content == "first note"
+    made = facets.derived(store.view(), 2, F.upper("raw_content"), 5)
+    assert facets.stale_facets(made, store.view()).isEmpty() and {x.derived_content for x in made.collect()} == {"FIRST NOTE", "SECOND NOTE"}
+    with pytest.raises(E.InvalidArgument):
+        facets.derived(store.view(), 6, F.lit(""), 0)
