@@ -248,3 +248,33 @@ def test_listings(store):
     assert facets.stale_facets(made, store.view()).isEmpty() and {x.derived_content for x in made.collect()} == {"FIRST NOTE", "SECOND NOTE"}
     with pytest.raises(E.InvalidArgument):
         facets.derived(store.view(), 6, F.lit(""), 0)
+
+
+def test_a_failed_batch_is_applied_again(spark, store, tmp_path):
+    """Records are published with their commit, and a consumer that fails meets them again; what it has applied twice counts once."""
+    def commit(q):
+        with store.update() as tx:
+            tx.put_cell(q, 0, str(q))
+            if q == 2:
+                tx.delete_cell(0, 0)
+
+    sync, fails = SuperhexSync(spark, 1), [True]
+    apply = sync.apply
+
+    def flaky(records, batch_id=None):
+        apply(records, batch_id)
+        if fails:
+            fails.pop()
+            raise RuntimeError("after the work, before it is known")
+
+    sync.apply = flaky
+    for q in range(3):
+        commit(q)
+    with pytest.raises(Exception):  # noqa: B017
+        sync.start(stream(spark, store.path), f"{tmp_path}/checkpoint").awaitTermination()
+    sync.last_seq = 0  # the next process knows nothing of it
+    sync.start(stream(spark, store.path), f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(x.q for x in sync.state.collect()) == [1, 2]
+    commit(3)
+    sync.start(stream(spark, store.path), f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(x.q for x in sync.state.collect()) == [1, 2, 3] and sync.last_seq == 5
