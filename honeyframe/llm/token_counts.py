@@ -3,9 +3,12 @@
 The cache is a folder of Parquet files with one row per (tokenizer digest, content digest). A run joins the digests of
 its documents to the cache, encodes one document of each digest that is missing, and appends those counts.
 
-Nulls and empty texts count as the empty text. Repeated rows and equal texts share one digest and are encoded once; each
-input row still gets its own output row. Other columns of the input are not read, so their names can't clash. An empty
-table gives an empty result and appends nothing.
+Nulls and empty texts count as the empty text; very long ones are encoded whole. Repeated rows and equal texts share one
+digest and are encoded once; each input row still gets its own output row, also where ids are null or tie. Other columns
+of the input are not read, so their names can't clash. An empty table gives an empty result and appends nothing.
+
+A text that very many rows share is one key of the last join only; the counts it meets there are a written table, so that
+Spark can split that key's partition.
 """
 
 from __future__ import annotations
@@ -17,8 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from honeyframe.llm.common import cleaned, materialise
 from honeyframe.llm.encoding import encode_all, vocabulary
 
+#: Digests that a task remembers as encoded; past that it forgets, and a content met again is encoded again to the same count.
+REMEMBERED = 200_000
 CACHE_SCHEMA = "tokenizer binary, content binary, n_tokens long"
 
 
@@ -38,6 +44,8 @@ def _counter(name: str, engine: str):
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, seen = vocabulary(name), set()
         for part in parts:
+            if len(seen) > REMEMBERED:
+                seen.clear()
             # Rows that are alike in all columns meet in one task.
             new = [x not in seen and not seen.add(x) for x in part.column("content").to_pylist()]
             part = part.filter(pa.array(new, pa.bool_()))
@@ -71,15 +79,13 @@ def update_cache(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     counted = texts.select("content", "text").mapInArrow(_counter(tokenizer, engine), "content binary, n_tokens long")
     counted = counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counted = counted.select(F.lit(digest).alias("tokenizer"), "content", "n_tokens")
-    counted.write.mode("append").option("compression", "zstd").parquet(cache)
+    with cleaned(docs.sparkSession):
+        counted.write.mode("append").option("compression", "zstd").parquet(cache)
 
 
 def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.json", max_tokens: int = 1024, id_col: str = "doc_id", text_col: str = "text", engine: str = "table") -> DataFrame:
     """Per input row: id, n_bytes, n_tokens and over_limit, after bringing the cache up to date."""
     update_cache(docs, cache, tokenizer, id_col, text_col, engine)
-    known = read_cache(docs, cache, tokenizer_digest(tokenizer))
+    known = materialise(read_cache(docs, cache, tokenizer_digest(tokenizer)), "counts")
     keyed = with_digest(docs, id_col, text_col).select("id", "content", "n_bytes")
     return keyed.join(known, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
-
-
-
