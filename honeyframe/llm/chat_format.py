@@ -50,7 +50,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     one conversation. Only the four named columns are read, so others can't clash. An empty table gives no rows.
     """
     n = shuffle_parts(turns.sparkSession)
-    order = ["conv", "perspective", "turn", "speaker", "segment"]
+    # Bounds of ranges are sampled to the driver, so a segment takes part with its beginning; within a range all of it decides.
+    order = ["conv", "perspective", "turn", "speaker", F.substring("segment", 1, 256)]
     both = _rows(turns, conv_col, turn_col, speaker_col, text_col, system)
     # Ranges of all rows in order; a written table, so that a row's stretch stays what it was.
     dealt = both.repartitionByRange(n, *order).withColumn("stretch", F.spark_partition_id())
