@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from honeyframe.llm.common import _drop, cleaned, scratch, words
 
 CHUNK_TOKENS = 2_000_000
-#: Bytes of text to a bucket, and the occurrences from which a token is dealt over several buckets.
-BUCKET_BYTES, HOT_TOKENS = 12_000_000, 2_000_000
+#: Bytes of text to a bucket at most, how many buckets a smaller corpus is dealt to if each gets a twelfth of that, and the occurrences from which a token is dealt over several buckets.
+BUCKET_BYTES, LEAST_BUCKETS, HOT_TOKENS = 12_000_000, 24, 2_000_000
 #: Discounts and concentrations of the context restaurants and of their parent.
 DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 1.0, 0.7, 10.0
 BURN_IN, SAMPLES = 2, 3
@@ -170,10 +171,10 @@ def _chunker(chunk_tokens: int):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     held.add(doc_id, text.as_buffer().to_pybytes() if text.is_valid else b"")
                     if held.n >= chunk_tokens:
-                        yield from held.rows(part << 24 | seq, max(1, chunk_tokens >> 15))
+                        yield from held.rows(seq << 24 | part, max(1, chunk_tokens >> 15))
                         seq, held = seq + 1, _Chunk()
             if held.docs:
-                yield from held.rows(part << 24 | seq, max(1, chunk_tokens >> 15))
+                yield from held.rows(seq << 24 | part, max(1, chunk_tokens >> 15))
 
         yield from _batches(out())
 
@@ -187,10 +188,26 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["k", "n"])
 
 
+@dataclass
+class Hot:
+    """Tokens that are dealt over several buckets: their hashes in order, and over how many."""
+
+    hashes: np.ndarray
+    parts: np.ndarray
+
+    def among(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these hashes, in order, are hot: their places, and their places here."""
+        if not len(self.hashes) or not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.flatnonzero(self.hashes[at] == hashes)
+        return found, at[found]
+
+
 class _Layout:
     """A chunk's distinct pairs (token << 32 | context) in order, which of them each token is, and the buckets they are dealt to."""
 
-    def __init__(self, payload: bytes, buckets: int, hot: dict[int, int]):
+    def __init__(self, payload: bytes, buckets: int, hot: Hot):
         ids, null, train, lengths, tokens, steps = _unpress(payload, "<i8", "u1", "u1", "<i8", "<u4", "<u8")
         self.ids, self.null, self.train, self.lengths = ids, null.astype(bool), train.astype(bool), lengths
         self.hashes = np.cumsum(steps, dtype=U)
@@ -202,10 +219,8 @@ class _Layout:
         pairs, self.own = np.unique(tokens.astype(np.int64) << 32 | before, return_inverse=True)
         self.token, self.before = pairs >> 32, pairs & 0xFFFFFFFF
         parts = np.ones(len(self.hashes), U)
-        for h, k in hot.items():
-            at = int(np.searchsorted(self.hashes, U(h)))
-            if at < len(self.hashes) and self.hashes[at] == U(h):
-                parts[at] = k
+        at, which = hot.among(self.hashes)
+        parts[at] = hot.parts[which]
         self.bucket = (self.base[self.token] + (self.context[self.before] % parts[self.token]).astype(np.int64)) % buckets
 
     def dealt(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -219,7 +234,7 @@ class _Layout:
             yield b, dishes, np.bincount(np.searchsorted(dishes, self.token[at]), minlength=len(dishes)), at
 
 
-def _pairs(buckets: int, hot: dict[int, int]):
+def _pairs(buckets: int, hot: Hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[Row]:
             for batch in batches:
@@ -252,7 +267,7 @@ def _ranges(edges: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, slice
         at += n
 
 
-def _merger(buckets: int, hot: list[int]):
+def _merger(buckets: int, hot: Hot):
     """All chunks' pairs of a bucket as one table, with each chunk's places in it."""
 
     def merge(b: int, got: Held) -> Iterator[Row]:
@@ -282,11 +297,10 @@ def _merger(buckets: int, hot: list[int]):
             yield CONTEXTS, d, b, _press(_steps(known[order[at]]), types[at].astype("<u4"))
         several = counts[trained] > 1
         single = np.bincount(dish[trained[~several]], minlength=len(hashes))
-        mine = np.flatnonzero(np.isin(hashes, np.array(hot, U)))
-        index = np.array([hot.index(int(h)) for h in hashes[mine]], "<u4")
+        mine, index = hot.among(hashes)
         base = ((hashes[mine] >> CONTEXT_SHIFT) % U(buckets) == U(b)).astype(np.uint8)
         multi = trained[several]
-        yield MULTI, b, 0, _press(*(x.astype("<u4") for x in (_steps(multi), _steps(dish[multi]), which[several], single)), counts[multi].astype("<u8"), mine.astype("<u4"), index, base, owners.astype("<u4"), sizes.astype("<u4"))
+        yield MULTI, b, 0, _press(*(x.astype("<u4") for x in (_steps(multi), _steps(dish[multi]), which[several], single)), counts[multi].astype("<u8"), mine.astype("<u4"), index.astype("<u4"), base, owners.astype("<u4"), sizes.astype("<u4"))
         found = np.bincount(dish, counts, len(hashes)).astype(np.int64)
         n_types = np.bincount(dish[trained], minlength=len(hashes))
         known_here = found > 0
@@ -462,7 +476,7 @@ def parent_predictive(served: np.ndarray, tables: np.ndarray, root: float, root_
     return (np.maximum(served - PARENT_DISCOUNT * tables, 0) + (PARENT_STRENGTH + PARENT_DISCOUNT * root_tables) / (vocabulary + 1)) / (PARENT_STRENGTH + root)
 
 
-def _scorer(buckets: int, hot: dict[int, int], first: dict[int, int], sampled: list[dict[int, int]]):
+def _scorer(buckets: int, hot: Hot, first: dict[int, int], sampled: list[dict[int, int]]):
     samples = len(sampled)
     types = ["<u8", *["<u4"] * samples, "<u8", *["<u8", "<u4", "<u4"] * samples]
 
@@ -476,12 +490,10 @@ def _scorer(buckets: int, hot: dict[int, int], first: dict[int, int], sampled: l
             of_pair[:, at] = found[: 1 + samples]
             mine = x.base[dishes] == b
             of_token[:, dishes[mine]] = [y[mine] for y in found[1 + samples :]]
-        for i, h in enumerate(hot):
-            at = int(np.searchsorted(x.hashes, U(h)))
-            if at < len(x.hashes) and x.hashes[at] == U(h):
-                of_token[0, at] = first[4 + 3 * i]
-                for s, totals in enumerate(sampled):
-                    of_token[1 + 3 * s : 3 + 3 * s, at] = totals[5 + 3 * i], totals[6 + 3 * i]
+        for at, i in zip(*hot.among(x.hashes), strict=True):
+            of_token[0, at] = first[4 + 3 * i]
+            for s, totals in enumerate(sampled):
+                of_token[1 + 3 * s : 3 + 3 * s, at] = totals[5 + 3 * i], totals[6 + 3 * i]
         p, known = np.zeros(len(x.token)), of_token[0]
         for s, totals in enumerate(sampled):
             served, tables, of_context = of_token[1 + 3 * s : 4 + 3 * s]
@@ -498,23 +510,27 @@ def _scorer(buckets: int, hot: dict[int, int], first: dict[int, int], sampled: l
 
 
 def _dealt(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(n, "to").sortWithinPartitions("to", "role", "source")
+    """Buckets, and chunks, numbered by partition and turn, spread evenly over partitions."""
+    return rows.repartitionById(n, F.pmod("to", F.lit(n)).cast("int")).sortWithinPartitions("to", "role", "source")
 
 
 class _Steps:
-    """Rows as they are written, by role, until they are dropped."""
+    """Rows as they are written until they are dropped: large ones in a folder for each role, small ones together."""
 
     def __init__(self, spark):
         self.spark = spark
 
-    def write(self, rows: DataFrame, name: str) -> str:
+    def write(self, rows: DataFrame, name: str, by_role: bool) -> str:
         path = scratch(self.spark, f"lm-{name}")
         with cleaned(self.spark):
-            rows.write.partitionBy("role").option("compression", "none").parquet(path)
+            out = rows.write.option("compression", "none").option("parquet.block.size", 16 << 20)
+            (out.partitionBy("role") if by_role else out).parquet(path)
         return path
 
-    def step(self, rows: DataFrame, n: int, work: Callable[[int, Held], Iterator[Row]], name: str) -> str:
-        return self.write(_dealt(rows, n).mapInArrow(_received(work), ROW_SCHEMA), name)
+    def step(self, rows: DataFrame, buckets: int, work: Callable[[int, Held], Iterator[Row]], name: str, by_role: bool = False) -> str:
+        """A step of many small rows has a task for eight buckets, one of large ones a task for two: few files, whatever the number of buckets."""
+        n = -(-buckets // (2 if by_role else 8))
+        return self.write(_dealt(rows, n).mapInArrow(_received(work), ROW_SCHEMA), name, by_role)
 
     def read(self, path: str, *roles: int, role: int | None = None) -> DataFrame:
         rows = self.spark.read.schema(ROW_SCHEMA).parquet(path).filter(F.col("role").isin(*roles))
@@ -525,8 +541,9 @@ class _Steps:
         return defaultdict(int, {r.to: int(r.n) for r in self.read(path, TOTAL).groupBy("to").agg(F.sum("source").alias("n")).collect()})
 
     def drop(self, path: str, *roles: int) -> None:
-        for role in roles:
-            _drop(self.spark, f"{path}/role={role}")
+        """What was written in a step, or of one by role only these."""
+        for part in [f"{path}/role={role}" for role in roles] or [path]:
+            _drop(self.spark, part)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, chunk_tokens: int = CHUNK_TOKENS, bucket_bytes: int = BUCKET_BYTES, hot_tokens: int = HOT_TOKENS) -> DataFrame:
@@ -539,21 +556,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     steps = _Steps(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
-    chunks = steps.write(rows.mapInArrow(_chunker(chunk_tokens), ROW_SCHEMA), "chunks")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-n_bytes // bucket_bytes), min(LEAST_BUCKETS, -(-12 * n_bytes // bucket_bytes)))
+    chunks = steps.write(rows.mapInArrow(_chunker(chunk_tokens), ROW_SCHEMA), "chunks", True)
     n_chunks = max(1, steps.read(chunks, HOT).count())
     often = steps.read(chunks, HOT).mapInArrow(_often, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_tokens)
-    hot = {r.k % (1 << 64): min(buckets, -(-r.n // hot_tokens)) for r in often.orderBy("k").collect()}  # tokens over hot_tokens, no more than the corpus has buckets
-    hot = {h: k for h, k in hot.items() if k > 1}
+    found = sorted((r.k % (1 << 64), min(buckets, -(-r.n // hot_tokens))) for r in often.collect())  # tokens over hot_tokens, no more than the corpus has buckets
+    found = [(h, k) for h, k in found if k > 1]
+    hot = Hot(np.array([h for h, _ in found], U), np.array([k for _, k in found], U))
     pairs = steps.read(chunks, CHUNK).mapInArrow(_pairs(buckets, hot), ROW_SCHEMA)
-    tables = steps.step(pairs, buckets, _merger(buckets, list(hot)), "tables")
+    tables = steps.step(pairs, buckets, _merger(buckets, hot), "tables", True)
     first = steps.totals(tables)
-    first[1] += sum(first[4 + 3 * i] > 0 for i in range(len(hot)))
+    first[1] += sum(first[4 + 3 * i] > 0 for i in range(len(found)))
     own = steps.step(steps.read(tables, CONTEXTS), buckets, _owned, "own")
     steps.drop(tables, CONTEXTS)
     totals = defaultdict(int, first)
     totals[3] = first[1]
-    totals.update({6 + 3 * i: int(first[4 + 3 * i] > 0) for i in range(len(hot))})
+    totals.update({6 + 3 * i: int(first[4 + 3 * i] > 0) for i in range(len(found))})
     told, last, sampled, kept = own, None, [], []
     for turn in range(burn_in + samples):
         state = steps.read(tables, MULTI).union(steps.read(told, TOLD))
@@ -563,10 +582,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         totals = steps.totals(now)
         totals[1] = first[1]
         after = steps.step(steps.read(own, OWN, OWNED).union(steps.read(now, ADDED)), buckets, _told, f"told{turn}")
-        steps.drop(told, TOLD)
-        steps.drop(now, ADDED)
         if last and turn <= burn_in:
-            steps.drop(last, SEATED)
+            steps.drop(last)
+        if told != own and turn <= burn_in:
+            steps.drop(told)
         told, last = after, now
         if turn >= burn_in:
             s = len(sampled)
@@ -575,8 +594,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = steps.read(tables, TABLE, MULTI, PLACES).union(steps.read(own, OWN))
     for x in kept:
         asked = asked.union(x)
-    answers = steps.step(asked, buckets, _answerer(samples), "answers")
-    for path, roles in ((tables, (TABLE, MULTI, PLACES)), (own, (OWN, OWNED))):
-        steps.drop(path, *roles)
+    answers = steps.step(asked, buckets, _answerer(samples), "answers", True)
+    for path in (tables, own):
+        steps.drop(path)
     final = steps.read(chunks, CHUNK).union(steps.read(answers, ANSWER))
     return _dealt(final, n_chunks).mapInArrow(_received(_scorer(buckets, hot, dict(first), sampled), rows=False), SCORE_SCHEMA)
