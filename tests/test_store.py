@@ -278,3 +278,27 @@ def test_a_failed_batch_is_applied_again(spark, store, tmp_path):
     commit(3)
     sync.start(stream(spark, store.path), f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(x.q for x in sync.state.collect()) == [1, 2, 3] and sync.last_seq == 5
+
+
+def test_pruning_writes_only_what_goes(store, tmp_path):
+    """Passes name the versions they delete and rewrite no others; a fork prunes without touching the store; compaction drops the rows."""
+    cells = store.spark.range(300).selectExpr("cast(id as int) q", "0 r", "concat('n', id) raw_content")
+    for _ in range(3):
+        with store.update() as tx:
+            tx.put_cells(cells)
+    before, folders = store.versions("cells").count(), store.meta["families"]["cells"]
+    other = store.fork(f"file://{tmp_path}/fork")
+    assert other.storage() == store.storage()
+    assert [other.prune(3, 100), other.prune(3, 100), other.prune(3, None), other.prune(3, None)] == [100, 100, 400, 0]
+    left = other.versions("cells").select("commit_seq", "raw_content").collect()
+    assert before == 900 and len(left) == 300 and {x.commit_seq for x in left} == {3}
+    assert other.storage()["cells"] == store.storage()["cells"] and not (tmp_path / "fork" / "cells").exists()
+    assert other.oldest_snapshot_seq() == 3 and other.view().count() == 300 and other.diff(0, 3).count() == 300
+    with other.update() as tx:
+        tx.put_cell(0, 0, "later")
+    again = other.fork(f"file://{tmp_path}/again")
+    assert again.prune(4, 10) == 1 and other.versions("cells").count() == 301
+    other.compact()
+    assert other.versions("cells").count() == 301 and other.snapshot("cells", 3).filter("q = 0").first().raw_content == "n0"
+    assert again.versions("cells").count() == 300 and again.copy_to(f"file://{tmp_path}/copy").versions("cells").count() == 300
+    assert store.versions("cells").count() == 900 and store.meta["families"]["cells"] == folders and store.snapshot("cells", 1).count() == 300
