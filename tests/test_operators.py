@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from honeyframe import errors as E
-from honeyframe.functions.geometry import NEIGHBORS, pack_one
+from honeyframe.functions.geometry import NEIGHBORS, morton, pack_one
 from honeyframe.operators import fov, graph, placement, query, seams, snapshot, vector
 from honeyframe.operators.query import CellQuery
 
@@ -159,6 +159,24 @@ def test_placement(spark):
     assert placement.place_many([("a", (0, 0)), ("b", (0, 0)), ("c", (1, 0))], set(), 3) == [("a", (0, 0)), ("b", (1, 0)), ("c", (2, 0))]
 
 
+def test_placement_on_a_full_disk(spark, tmp_path):
+    """The registered queries give what their SQL gives where every coordinate of the disk has had a cell: no row."""
+    import duckdb
+
+    from honeyframe.plans.catalog import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, CASE WHEN i = 4920 THEN 'error' ELSE 'view' END AS event_type FROM range(4921) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for name, n in (("unused_placement", 0), ("free_placement", 1)):
+        got, want = QUERIES[name](spark, str(tmp_path)).collect(), con.execute(ORACLE_SQL[name]).fetchall()
+        assert [tuple(x) for x in got] == want and len(got) == n
+    full = spark.range(7).selectExpr("element_at(array(0, 1, 1, 0, -1, -1, 0), cast(id + 1 as int)) q", "element_at(array(0, 0, -1, -1, 0, 1, 1), cast(id + 1 as int)) r").withColumn("key", morton("q", "r"))
+    assert placement.find_unused(full, (0, 0), 1, must=False).count() == 0
+    with pytest.raises(E.NoFreePlacement):
+        placement.find_unused(full, (0, 0), 1)
+
+
 def test_goal_directed_paths_against_dijkstra(spark):
     """Costs to everything, and to one goal with and without a lower bound of the rest, on a random graph with parallel edges."""
     import heapq
