@@ -177,6 +177,28 @@ def test_placement_on_a_full_disk(spark, tmp_path):
         placement.find_unused(full, (0, 0), 1)
 
 
+def test_bulk_placement_beyond_128_rings(spark, tmp_path):
+    """The query equals its SQL with more documents than a disk of 128 rings holds; the operator places all on a wider disk."""
+    import duckdb
+
+    from honeyframe.functions.geometry import spiral_offset
+    from honeyframe.plans.catalog import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, CASE WHEN i % 5 = 0 THEN 'error' ELSE 'view' END AS event_type FROM range(90000) t(i)")
+    con.execute("CREATE TABLE embeddings AS SELECT 3 * i AS vec_id FROM range(50000) t(i)")
+    for name in ("events", "embeddings"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = sorted(tuple(x) for x in QUERIES["bulk_placement"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLE_SQL["bulk_placement"]).fetchall()) and len(got) == 120601 - 72000
+    docs, taken = spark.range(50000), spark.range(90000).selectExpr("cast(id as int) q", "0 r").withColumn("key", morton("q", "r"))
+    with pytest.raises(E.NoFreePlacement):
+        placement.place_all(docs, taken, (4, 5), 128)
+    placed = placement.place_all(docs, taken, (4, 5), 260).select("id", "q", "r").collect()
+    free = (at for at in ((4 + q, 5 + r) for q, r in map(spiral_offset, range(60000))) if not (at[1] == 0 and at[0] >= 0))
+    assert sorted((x.id, (x.q, x.r)) for x in placed) == list(enumerate(at for at, _ in zip(free, range(50000), strict=False)))
+
+
 def test_goal_directed_paths_against_dijkstra(spark):
     """Costs to everything, and to one goal with and without a lower bound of the rest, on a random graph with parallel edges."""
     import heapq
