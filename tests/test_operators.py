@@ -265,6 +265,25 @@ def test_vectors_by_a_callers_function(spark):
         vector.publish_index(index, 4)
 
 
+def test_index_is_fitted_on_a_spread_sample(spark, monkeypatch):
+    """Beyond ``sample`` vectors centers are fitted on about so many, not in one task; every vector is indexed and found."""
+    from pyspark.ml.clustering import KMeans
+
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df, *more: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df, *more))
+    rng = random.Random(5)
+    rows = [(i, 0, pack_one(i, 0), [rng.gauss(0, 1) for _ in range(8)]) for i in range(2000)]
+    made = spark.createDataFrame(rows, "q int, r int, key long, embedding array<float>")
+    asked = made.filter("q % 200 = 0").select(F.col("key").alias("query_id"), "embedding")
+    for metric in ("cosine", "dot", "l2"):
+        index = vector.build_index(made, 1, lists=20, sample=500, metric=metric)
+        assert seen[-1][0] > 1 and 400 < seen[-1][1] < 600
+        assert index.rows.select("key").distinct().count() == index.count == 2000
+        found = {(x.query_id, x.rank): x.key for x in index.search_many(asked, 5, effort=10_000, block=4).collect()}
+        for row in asked.collect():
+            assert [found[row.query_id, n] for n in range(1, 6)] == [x.key for x in vector.search(made, row.embedding, 5, metric=metric).collect()]
+
+
 def test_prompts_views_and_heuristics(spark):
     from honeyframe.functions import scalars
     from honeyframe.operators import context, spatial
