@@ -284,6 +284,14 @@ def test_index_is_fitted_on_a_spread_sample(spark, monkeypatch):
             assert [found[row.query_id, n] for n in range(1, 6)] == [x.key for x in vector.search(made, row.embedding, 5, metric=metric).collect()]
 
 
+def test_near_ties_go_by_key_within_a_task(spark):
+    """Scores that nine digits don't tell apart are ranked by key, as SQL does, also where a task keeps only its best."""
+    rows = [(key, [1.0, 1e-6 * (5 - key)]) for key in range(1, 6)]  # the greatest key has the greatest score, by 1e-11
+    made = spark.createDataFrame(rows, "key long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [x.key for x in vector.search_many(made, asked, 2).orderBy("rank").collect()] == [1, 2]
+
+
 def test_prompts_views_and_heuristics(spark):
     from honeyframe.functions import scalars
     from honeyframe.operators import context, spatial
