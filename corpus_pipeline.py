@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row with the smallest id; rows without an id stay. Rows are judged by their own whole text, whatever id they have; texts without words, nulls among them, are alike. Of rows with the same least id in one group the least row stays."""
+    """Of each group of near duplicates one row with the smallest id; rows without an id stay. Operator 5's SimHash index finds candidates, MinHash bands find those it can't, and each is checked on both whole texts. Rows are judged by their own whole text, whatever id they have; texts without words, nulls among them, are alike. Of rows with the same least id in one group the least row stays."""
     classes = jaccard.near_duplicates(docs, SHINGLE_WORDS)
     kept = classes.filter("row.doc_id is null or row.doc_id = nd_least")
     named = kept.filter("row.doc_id is not null")

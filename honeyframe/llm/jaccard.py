@@ -1,4 +1,7 @@
-"""Near duplicates by the exact similarity of shingle sets: MinHash bands bring pairs together, their texts decide.
+"""Near duplicates by SimHash and MinHash, decided by the exact similarity of shingle sets.
+
+Operator 5's index brings together sets whose fingerprints differ in at most ``TAU`` bits, by the generalised pigeonhole
+principle. Pairs just above the bound differ in more, so MinHash bands bring together others; the texts of all decide.
 
 Two sets of Jaccard similarity s agree in a band of ``ROWS`` minima with probability s^ROWS, so in one of ``BANDS`` bands or
 more with 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8, more above. Whoever meets in a band and is not far apart in size or in 64
@@ -21,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from honeyframe.llm import simhash
 from honeyframe.llm.common import materialise
 from honeyframe.llm.components import components
-from honeyframe.llm.simhash import U, _mixed, shingle_hashes
+from honeyframe.llm.simhash import U, _mixed, majority, shingle_hashes
 
 BANDS, ROWS = 20, 5
+#: Fingerprints that differ in so many bits or fewer bring their sets together.
+TAU = 3
 #: Up to so many sets in a bucket all pairs are candidates; beyond, pivots first: 1, then 8 times as many.
 SMALL, PIVOTS, MORE = 32, 1, 8
 #: Of 64 one-bit minima of a pair at 0.8 a tenth differ; more than 20 do in one pair of a million.
@@ -59,16 +65,16 @@ def _signer(at: int, size: int, names: list[str]):
         for batch in batches:
             n = batch.num_rows
             own, number = np.arange(number, number + n), number + n
-            node, count, least = np.zeros(n, U), np.zeros(n, np.int64), np.zeros((n, BANDS * ROWS), U)
+            node, count, least, fp = np.zeros(n, U), np.zeros(n, np.int64), np.zeros((n, BANDS * ROWS), U), np.zeros(n, U)
             for i, text in enumerate(batch.column(0).field(at)):
                 h = shingle_set(_bytes(text), size)
-                node[i], count[i], least[i] = xxhash.xxh3_64_intdigest(h.tobytes()), len(h), minima(h)
+                node[i], count[i], least[i], fp[i] = xxhash.xxh3_64_intdigest(h.tobytes()), len(h), minima(h), majority(h)
             sketch = np.packbits((least[:, :64] >> U(40) & U(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(n)
             bands = np.broadcast_to(np.arange(BANDS, dtype=U), (n, BANDS))
             for j in range(ROWS):
                 bands = _mixed(bands ^ least[:, j::ROWS], j)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(node.view(np.int64)), pa.array(count), pa.array(sketch.view(np.int64)), lists], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(node.view(np.int64)), pa.array(count), pa.array(sketch.view(np.int64)), pa.array(fp.view(np.int64)), lists], names)
 
     return run
 
@@ -175,13 +181,26 @@ def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_Meeter(low, high), "large boolean, a long, b long")
 
 
+def _fingerprinted(signed: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b, that join all sets whose fingerprints links of at most ``TAU`` bits reach: one set stands for each fingerprint, others of the same one are compared with it."""
+    sets = signed.select(F.col("nd_fp").alias("fp"), F.col("nd_node").alias("node")).distinct()
+    heads = materialise(sets.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = sets.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    none = F.lit(0).cast("long")
+    links = simhash.links(heads.select("fp", none.alias("w0"), none.alias("w1")), TAU)
+    apart = links
+    for end in ("a", "b"):
+        apart = apart.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
+    return same.union(apart.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Each row whole, as the struct ``row``, with nd_label and nd_least: the group of near duplicates and its smallest id, null if no row there has one.
 
     A group is what pairs of a Jaccard similarity of OVER / UNDER or more join. Texts without words, nulls among them, are
     alike. Whole texts are compared, very long ones too. Columns may have any names. An empty table gives no rows.
     """
-    more = [("nd_row", T.LongType()), ("nd_node", T.LongType()), ("nd_size", T.LongType()), ("nd_sketch", T.LongType()), ("nd_bands", T.ArrayType(T.LongType()))]
+    more = [("nd_row", T.LongType()), ("nd_node", T.LongType()), ("nd_size", T.LongType()), ("nd_sketch", T.LongType()), ("nd_fp", T.LongType()), ("nd_bands", T.ArrayType(T.LongType()))]
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in more)])
     signed = materialise(rows.mapInArrow(_signer(docs.columns.index(text_col), shingle_words, schema.names), schema), "signed")
@@ -192,7 +211,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int, text_col: str = "text",
     keys = met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("sets"))
     most = keys.agg(F.max("sets")).first()[0] or 0
     large = materialise(rows.drop("label").join(keys, "key", "left_semi"), "large") if most else rows.limit(0).drop("label")
-    pairs = met.filter("not large").select("a", "b").distinct()
+    pairs = materialise(met.filter("not large").select("a", "b").union(_fingerprinted(signed)).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("nd_node")).union(pairs.select("b")).union(large.select("node")).distinct()
     # One row of each set that is asked for, found by its own number: copies, however many, don't meet in a task.
     chosen = signed.groupBy("nd_node").agg(F.min("nd_row").alias("nd_row")).join(asked, "nd_node", "left_semi")

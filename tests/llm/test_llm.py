@@ -545,3 +545,23 @@ def test_dedup_judges_rows_by_their_text(spark):
     rows = [(3, y), (7, x), (7, y), (8, "one text"), (8, "another one")]
     kept = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(3, y), (7, x), (8, "one text"), (8, "another one")])
+
+
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """The SimHash index finds near copies without the bands; what it links is checked on the texts."""
+    from pyspark.sql import functions as F
+
+    from honeyframe.llm import jaccard
+
+    rng = random.Random(6)
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(4000)] for _ in range(30)]
+    texts = [" ".join(w) for w in own] + [" ".join([*w[:-1], "other"]) for w in own]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "_met", lambda rows, low, high: spark.createDataFrame([], "large boolean, a long, b long"))
+    found = {x.row.doc_id: x.nd_least for x in jaccard.near_duplicates(docs, 5).collect()}
+    assert [found[i] for i in range(60)] == [*range(30), *range(30)]
+    far = "unlike " * 3 + "all of the others here"
+    wrong = spark.createDataFrame([(0, texts[0]), (1, far), (2, texts[30])], "doc_id long, text string")
+    everything = lambda distinct, tau: distinct.select(F.col("fp").alias("a")).crossJoin(distinct.select(F.col("fp").alias("b"))).filter("a < b")
+    monkeypatch.setattr(jaccard.simhash, "links", everything)
+    assert {x.row.doc_id: x.nd_least for x in jaccard.near_duplicates(wrong, 5).collect()} == {0: 0, 1: 1, 2: 0}
