@@ -284,6 +284,24 @@ def test_index_is_fitted_on_a_spread_sample(spark, monkeypatch):
             assert [found[row.query_id, n] for n in range(1, 6)] == [x.key for x in vector.search(made, row.embedding, 5, metric=metric).collect()]
 
 
+def test_index_is_fitted_by_matrix_products(spark, monkeypatch):
+    """Spark's k-means only starts, on as many partitions as its rows need; what follows ends with each center the mean of its rows."""
+    from pyspark.ml.clustering import KMeans
+
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df, *more: seen.append((df.rdd.getNumPartitions(), self.getMaxIter())) or fit(self, df, *more))
+    rng = random.Random(6)
+    rows = [(i, 0, pack_one(i, 0), [rng.gauss(10 * (i % 3 == j), 0.5) for j in range(3)]) for i in range(300)]
+    made = spark.createDataFrame(rows, "q int, r int, key long, embedding array<float>")
+    for metric in ("cosine", "l2"):
+        index = vector.build_index(made, 1, lists=3, metric=metric)
+        assert seen[-1] == (2, 1)
+        held = [(x["list"], x.embedding) for x in index.rows.select("list", "embedding").collect()]
+        for n, center in enumerate(index.centers):
+            own = [v if metric == "l2" else [x / math.hypot(*v) for x in v] for at, v in held if at == n]
+            assert own and max(abs(sum(x) / len(own) - c) for x, c in zip(zip(*own, strict=True), center, strict=True)) < 1e-3
+
+
 def test_near_ties_go_by_key_within_a_task(spark):
     """Scores that nine digits don't tell apart are ranked by key, as SQL does, also where a task keeps only its best."""
     rows = [(key, [1.0, 1e-6 * (5 - key)]) for key in range(1, 6)]  # the greatest key has the greatest score, by 1e-11
