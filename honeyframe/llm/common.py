@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,27 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(UPPER_TO_LOWER).split()
 
 
+#: What operators keep in a worker process for its next tasks.
+_kept: list[dict] = []
+
+
+def kept(made: dict) -> dict:
+    """``made``, which ``give_back`` empties; whatever is missing from it must be made anew."""
+    _kept.append(made)
+    return made
+
+
+def give_back() -> None:
+    """Empty what other operators have kept in this worker process, which serves one stage after another, and free what its pools hold unused."""
+    if any(_kept):
+        for made in _kept:
+            made.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from honeyframe.llm.common import kept
+
 #: Characters of windows in one automaton (about 100 bytes of memory for each in a worker).
 AUTOMATON_CHARS = 2_000_000
 _UPPER = range(65, 91)
@@ -27,7 +29,7 @@ _TO_WORDS = bytes(b + 32 if b in _UPPER else b if b >= 0x80 or 0x30 <= b <= 0x39
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 RESULT = "n_words long, n_hit long, items array<string>, hits array<struct<first: int, last: int>>"
 
-_built: dict[int, object] = {}
+_built: dict[int, object] = kept({})
 
 
 def normal_words(text: bytes) -> list[bytes]:

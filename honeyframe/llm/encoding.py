@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from honeyframe.llm.common import kept
+
 #: Distinct pieces that one worker process keeps (about 150 bytes each); a fuller table is emptied and starts anew.
 MOST_PIECES = 600_000
 #: Texts encoded at once: about so many characters.
@@ -26,7 +28,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The white space characters beside space, tab, line feed and carriage return.
 _RARE_SPACES = "".join(map(chr, (11, 12, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
-_open: dict[tuple[str, str], Encoder] = {}
+_open: dict[tuple[str, str], Encoder] = kept({})
 
 
 def _runs(text: str) -> bool:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from honeyframe.llm import simhash
-from honeyframe.llm.common import materialise
+from honeyframe.llm.common import give_back, materialise
 from honeyframe.llm.components import components
 from honeyframe.llm.simhash import U, _mixed, majority, shingle_hashes
 
@@ -61,6 +61,7 @@ def _bytes(scalar) -> bytes:
 
 def _signer(at: int, size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             n = batch.num_rows
@@ -118,6 +119,7 @@ class _Meeter:
         return np.concatenate(a), np.concatenate(b)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: list[list[np.ndarray]] = []
         size = 0
 
@@ -150,6 +152,7 @@ def _verifier(size: int):
     """Rows (a, b, text of a, text of b) in; those whose sets are similar enough, out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: dict[int, np.ndarray] = {}
 
         def shingles(node: int, text) -> np.ndarray:

@@ -547,6 +547,18 @@ def test_dedup_judges_rows_by_their_text(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(3, y), (7, x), (8, "one text"), (8, "another one")])
 
 
+def test_near_duplicates_give_back_what_others_kept():
+    """A worker that has encoded texts or scanned for windows holds neither table once it looks for near duplicates."""
+    from honeyframe.llm import jaccard
+
+    path = encoding.vocabulary("byte_bpe_50k.json")
+    for run in (jaccard._Meeter(0, 1), jaccard._verifier(5)):
+        before = encoding.encoder(path).encode(["one two three"])[0].tolist()
+        decontaminate._built[0] = object()
+        assert list(run(iter([]))) == [] and not encoding._open and not decontaminate._built
+        assert encoding.encoder(path).encode(["one two three"])[0].tolist() == before
+
+
 def test_near_duplicates_by_fingerprints(spark, monkeypatch):
     """The SimHash index finds near copies without the bands; what it links is checked on the texts."""
     from pyspark.sql import functions as F
